@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, simhash, substring
+from quern.llm import bpe, compaction, cotrain, decontam, htmltext, neardup, revisit, simhash, substring, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,16 +19,44 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = revisit.resolve(revisit.captures(_table(spark, sf_dir, "pages")))
+    return out.withColumn("refers_to", out["refers_to"].cast("string"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.shard(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    "op1_substring_dedup": op1_substring_dedup,
-    "op7_benchmark_decontamination": op7_benchmark_decontamination,
-    "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    f.__name__: f
+    for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_quality_classifier, op4_token_counts, op5_bpe, op6_warc_revisits, op7_benchmark_decontamination, op8_html_extraction, op9_sharding, op10_simhash_near_dedup)
 }
