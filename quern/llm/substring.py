@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import U64, fresh, grams, materialise, pieces, ship, sorted_groups, text_bytes, word_hashes, words
+from quern.llm.common import U64, fresh, grams, materialise, mix, pieces, ship, sorted_groups, text_bytes, word_hashes, words
 
 
 class SuffixAutomaton:
@@ -136,7 +136,7 @@ def _segments(min_words: int, gram: int, bits: int, bitmap):
             h, doc, *_ = _hashed(part, "text")
             m, a, b = _buckets(h, doc, min_words, gram)
             if table is not None and m.size:
-                slot = m >> U64(64 - bits)
+                slot = mix(m) >> U64(64 - bits)  # minimizers are small numbers: spread them
                 hit = np.flatnonzero(table[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8) & 1)
                 m, a, b = m[hit], a[hit], b[hit]
             if not m.size:
@@ -279,7 +279,7 @@ def spans(docs: DataFrame, min_words: int = 50, gram: int = 12, id_col: str = "d
     schema = "m long, doc long, key long, at long, seg binary"
     if n <= bitmap_limit:
         bits = max(16, int(16 * max(n, 1)).bit_length())
-        slot = many.toArrow().column("m").to_numpy().view(U64) >> U64(64 - bits) if n else np.zeros(0, U64)
+        slot = mix(many.toArrow().column("m").to_numpy().view(U64)) >> U64(64 - bits) if n else np.zeros(0, U64)
         table = np.zeros(1 << (bits - 3), np.uint8)
         np.bitwise_or.at(table, (slot >> U64(3)).astype(np.int64), (1 << (slot & U64(7)).astype(np.uint8)).astype(np.uint8))
         segs = rows.mapInArrow(_segments(min_words, gram, bits, spark.sparkContext.broadcast(table)), schema)
