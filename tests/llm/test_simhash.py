@@ -48,7 +48,7 @@ def test_forest_connects_what_pairs_connect():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, (5, 4)).astype(np.uint64)
     x = np.repeat(base, 30, axis=0) ^ (np.uint64(1) << rng.integers(0, 63, (150, 4)).astype(np.uint64))
-    kept = near_forest(x[:100], x[100:], 8, rows=16, columns=32)
+    kept = near_forest(x[:100].view(np.uint16), x[100:].view(np.uint16), 8, rows=16, columns=32)
     assert len(kept) <= 149
     label = list(range(150))
     for i, j in kept:
