@@ -36,7 +36,7 @@ STOP = {
 }
 STOPS = {k: frozenset(v) for k, v in STOP.items()}
 HIDDEN = "script|style|noscript|template|svg|math|head|iframe|object|select|textarea"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^>\"']|\"[^\"<>]*\"|'[^'<>]*'|[\"'])*>|<[!?][^>]*>", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+(?:[\"'][^<>]*)?>|<[!?][^>]*>", re.S | re.I)
 BLOCK = frozenset("address article aside blockquote body br caption center col colgroup dd details dialog div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
 SPACES = re.compile(r"\s+")
