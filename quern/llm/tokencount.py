@@ -101,7 +101,7 @@ def count_tokens(files: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2
     carried = found.withColumn("done", F.coalesce(F.sum("n_ends").over(before), F.lit(0))).withColumn("from", F.coalesce(F.max("last_end").over(before) + 1, F.lit(0)))
     each = carried.select("file", "done", "from", "ends", "tail", F.posexplode("ends").alias("i", "end"))
     first = F.when(F.col("i") == 0, F.col("from")).otherwise(F.get("ends", F.col("i") - 1) + 1)
-    return each.select("file", (F.col("done") + F.col("i")).alias("doc_no"), first.alias("first_token"), (F.col("end") - first).alias("n_tokens"), ~(F.col("tail") & (F.col("i") == F.size("ends") - 1)).alias("closed"))
+    return each.select("file", (F.col("done") + F.col("i")).alias("doc_no"), first.alias("first_token"), (F.col("end") - first).alias("n_tokens"), (~(F.col("tail") & (F.col("i") == F.size("ends") - 1))).alias("closed"))
 
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
