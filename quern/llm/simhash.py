@@ -210,15 +210,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return both.select(F.col("doc").alias("doc_id"), F.col("first.doc").alias("kept_doc_id"))
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id (then text hash)."""
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **params) -> DataFrame:
+    """docs with one row of each near-duplicate group: that of the smallest doc_id (then text hash).
+
+    What goes is told by pairs of numbers, broadcast if there are at most `broadcast_rows` of them, so that texts aren't
+    shuffled; beyond that it is joined as Spark sees fit.
+    """
     every = groups(docs, id_col=id_col, text_col=text_col, **params).select("doc", "key", "root")
     first = every.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     marks = every.join(first, "root").groupBy("doc", "key").agg(F.max(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("key") == F.col("first.key"))).alias("stays"), F.count(F.lit(1)).alias("copies"))
     marks = materialise(marks.where("not stays or copies > 1"))
+    small = marks.count() <= broadcast_rows
     cols = docs.columns
     key, doc, stays, nth = (fresh(x, cols) for x in ("__key", "__doc", "__stays", "__nth"))
     marks = marks.select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("stays").alias(stays))
+    marks = F.broadcast(marks) if small else marks
     left = docs.withColumn(key + "t", F.xxhash64(F.col(text_col)))
     same = F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (left[key + "t"] == marks[key])
     gone = left.join(marks.where(~F.col(stays)), same, "left_anti")

@@ -289,13 +289,19 @@ def spans(docs: DataFrame, min_words: int = 50, gram: int = 12, id_col: str = "d
     return shards.mapInArrow(_match(min_words), "doc long, key long, start long, length long")
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated passages of min_words or more words removed from all but their first place (see the module)."""
+def substring_dedup(docs: DataFrame, min_words: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text", broadcast_spans: int = 1_000_000) -> DataFrame:
+    """docs with repeated passages of min_words or more words removed from all but their first place (see the module).
+
+    The spans are broadcast if there are at most `broadcast_spans` of them, so that texts aren't shuffled; beyond that they
+    are joined as Spark sees fit.
+    """
     cols = docs.columns
     doc, key, mark = fresh("__doc", cols), fresh("__key", cols), fresh("__spans", cols)
     found = spans(docs, min_words, gram, id_col, text_col)
     found = found.groupBy("doc", "key").agg(F.collect_set(F.struct("start", "length")).alias(mark)).select(F.col("doc").alias(doc), F.col("key").alias(key), mark)
     found = materialise(found)
+    if (found.agg(F.sum(F.size(mark))).first()[0] or 0) <= broadcast_spans:
+        found = F.broadcast(found)
     left = docs.withColumn(key + "t", F.xxhash64(F.col(text_col)))
     joined = left.join(found, F.col(id_col).cast("long").eqNullSafe(found[doc]) & (left[key + "t"] == found[key]), "left").select(*[left[f"`{c}`"] for c in cols], mark)
     chars = next((f.name for f in docs.schema.fields if f.name == "n_chars" and isinstance(f.dataType, T.IntegralType)), None)
