@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,22 +54,21 @@ def _minhash_sum(sets: DataFrame, num_perm: int) -> DataFrame:
     rng = np.random.default_rng(1)
     a, b = (rng.integers(1, 1 << 63, num_perm, dtype=np.uint64) | np.uint64(1) for _ in range(2))
 
-    @F.pandas_udf("array<long>")
-    def minima(s: pd.Series) -> pd.Series:
-        out = []
-        with np.errstate(over="ignore"):
-            for hashes in s:
-                h = np.asarray(hashes, dtype=np.int64).view(np.uint64)
-                low = np.full(num_perm, np.iinfo(np.uint64).max, np.uint64)
-                for k in range(0, h.size, 4096):
-                    x = a[:, None] * h[None, k : k + 4096] + b[:, None]
-                    low = np.minimum(low, (x ^ (x >> np.uint64(31))).min(axis=1))
-                out.append(low.view(np.int64))
-        return pd.Series(out)
-
-    # as nondeterministic, or a filter inferred from the explosion would need it within the JVM
-    minima = minima.asNondeterministic()
-    signature = sets.where(F.size("g") > 0).select(minima(F.transform("g", lambda g: F.xxhash64(g))).alias("m"))
+    def minima(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            with np.errstate(over="ignore"):
+                for hashes in f["h"]:
+                    h = np.asarray(hashes, dtype=np.int64).view(np.uint64)
+                    low = np.full(num_perm, np.iinfo(np.uint64).max, np.uint64)
+                    for k in range(0, h.size, 4096):
+                        x = a[:, None] * h[None, k : k + 4096] + b[:, None]
+                        low = np.minimum(low, (x ^ (x >> np.uint64(31))).min(axis=1))
+                    out.append(low.view(np.int64))
+            yield pd.DataFrame({"m": out})
+
+    hashed = sets.where(F.size("g") > 0).select(F.transform("g", lambda g: F.xxhash64(g)).alias("h"))
+    signature = hashed.mapInPandas(minima, "m array<long>")
     equal = signature.select(F.posexplode("m").alias("p", "x")).groupBy("p", "x").count()
     return equal.agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2) / num_perm, F.lit(0.0)).alias("total"))
 
