@@ -198,6 +198,19 @@ class Forest:
                     self.parent[max(a, b)] = min(a, b)
                     self.kept.append((i, j))
 
+    def join_pairs(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Takes in near pairs (i, j)."""
+        while i.size:
+            label = self.labels()
+            open_ = label[i] != label[j]
+            i, j = i[open_], j[open_]
+            _, first = np.unique(i, return_index=True)
+            for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                a, b = self.find(x), self.find(y)
+                if a != b:
+                    self.parent[max(a, b)] = min(a, b)
+                    self.kept.append((x, y))
+
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows with equal keys (never null), each group whole even where it spans batches."""

@@ -4,15 +4,14 @@ Fingerprint: 256 bits, each the majority over the document's distinct words (let
 A document with fewer than `min_features` distinct words gets a hash of its normalised words in order, so that it meets
 exact copies only. Near: at most `radius` of 256 bits differ. Order and repetition of words don't count.
 
-Search. A near pair agrees closely in some block of 16 bits; for each of `trees` disjoint blocks a vantage-point tree
-partitions the blocks' values by their Hamming distance to vantage points (inside: at most mu). A leaf is a shard. By the
-triangle inequality a pair at block distance at most `block_radius` can only be parted where the inside one has a distance
-above mu - block_radius, so such a fingerprint also visits the outside branch; visitors descend into every branch that the
-bounds don't exclude. Every leaf compares its own fingerprints with each other and with its visitors: first over its tree's
-block, then, where that is within block_radius, over all 256 bits.
-Pairs that are within block_radius in some block are all found; with the defaults that is over 0.95 of the pairs within the
-radius that copies with a few per cent of edited words have, and groups connect through further members (tests hold recall
-against brute force). Trees are built from a bounded sample, which changes shard sizes but no result.
+Search. A vantage-point tree partitions the fingerprints by their Hamming distance over all 256 bits to vantage points
+(inside: at most mu). A leaf is a shard. By the triangle inequality a near pair can only be parted where the inside one has a
+distance above mu - radius, so such a fingerprint also visits the outside branch; visitors descend into every branch that the
+bounds don't exclude. Every leaf finds the near pairs among its own fingerprints and between them and its visitors: the bits
+fall into blocks with radii so chosen that a pair which exceeds its radius in every block differs in more than `radius` bits
+in all; so a near pair is within some block's radius there, every value within it is looked up in an index of the block, and
+what is found is compared over all 256 bits. No near pair is missed. The tree is built from a bounded sample, and blocks are
+chosen by the size of the leaf; both change times but no result.
 
 A shard reports a spanning forest of its near pairs, not all of them; connected components over these give the groups.
 
@@ -23,6 +22,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import NOT_WORD, U64, Forest, components, fresh, materialise, mix, pieces, ship, sorted_groups, text_bytes, word_hashes, words
+from quern.llm.common import NOT_WORD, U64, Forest, components, fresh, materialise, mix, pieces, ship, text_bytes, word_hashes, words
 
-BITS, BLOCK = 256, 16
+BITS = 256
 
 
 def fingerprints(column: pa.Array, min_features: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -74,33 +75,43 @@ def _fold(h: np.ndarray) -> np.ndarray:
         return mix((mix(np.arange(h.size, dtype=U64)) ^ h)).sum(keepdims=True)
 
 
+def _far(values: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Hamming distances of values (numbers or rows of them) to v."""
+    d = np.bitwise_count(values ^ v)
+    return (d.sum(axis=1) if d.ndim > 1 else d).astype(np.int64)
+
+
 class Tree:
-    """A vantage-point tree over 16-bit values; nodes are (vantage, mu, inside, outside) or a leaf's number."""
+    """A vantage-point tree over numbers or rows of them; nodes are (vantage, mu, inside, outside) or a leaf's number."""
 
-    def __init__(self, values: np.ndarray, weight: float, leaf: int, seed: int):
+    def __init__(self, values: np.ndarray, weight: float, leaf: int, seed: int, radius: int = 1):
         self.leaves = 0
+        self.bits = values.itemsize * 8 * math.prod(values.shape[1:])
+        self.radius = radius  # cuts are made where few values are so near to mu
         self.node = self._build(values, weight, leaf, np.random.default_rng(seed))
 
     def _build(self, values: np.ndarray, weight: float, leaf: int, rng: np.random.Generator):
-        if values.size * weight > leaf and values.size > 8:
+        if len(values) * weight > leaf and len(values) > 8:
             best = None
             for v in rng.choice(values, 4):
-                d = np.bitwise_count(values ^ v)
-                count = np.bincount(d, minlength=BLOCK + 1)
-                inside = np.cumsum(count)
-                for mu in range(BLOCK):
-                    a, b = inside[mu], values.size - inside[mu]
-                    if min(a, b) * 5 >= values.size and (best is None or count[mu] + count[mu + 1] < best[0]):
-                        best = (count[mu] + count[mu + 1], v, mu, d)
+                d = _far(values, v)
+                inside = np.cumsum(np.bincount(d, minlength=self.bits + 1))
+                for mu in range(self.bits):
+                    a, b = inside[mu], len(values) - inside[mu]
+                    if min(a, b) * 5 < len(values):
+                        continue
+                    near = inside[min(mu + self.radius, self.bits)] - (inside[mu - self.radius] if mu >= self.radius else 0)
+                    if best is None or near < best[0]:
+                        best = (near, v, mu, d)
             if best is None:  # no even cut: any cut
                 for v in rng.choice(values, 8):
-                    d = np.bitwise_count(values ^ v)
+                    d = _far(values, v)
                     if d.max() > d.min():
                         best = (0, v, int(d.min()), d)
                         break
             if best is not None:
                 _, v, mu, d = best
-                return (int(v), mu, self._build(values[d <= mu], weight, leaf, rng), self._build(values[d > mu], weight, leaf, rng))
+                return (v, mu, self._build(values[d <= mu], weight, leaf, rng), self._build(values[d > mu], weight, leaf, rng))
         self.leaves += 1
         return self.leaves - 1
 
@@ -115,34 +126,97 @@ class Tree:
                 out.extend([(own, node, True), (visiting, node, False)])
                 return
             v, mu, inside, outside = node
-            d, e = np.bitwise_count(values[own] ^ np.uint16(v)).astype(int), np.bitwise_count(values[visiting] ^ np.uint16(v)).astype(int)
+            d, e = _far(values[own], v), _far(values[visiting], v)
             down(inside, own[d <= mu], visiting[e - radius <= mu])
             down(outside, own[d > mu], np.concatenate([own[(d <= mu) & (d + radius > mu)], visiting[e + radius > mu]]))
 
-        down(self.node, np.arange(values.size), np.zeros(0, np.int64))
+        down(self.node, np.arange(len(values)), np.zeros(0, np.int64))
         size = [x.size for x, _, _ in out]
         return np.concatenate([x for x, _, _ in out] or [np.zeros(0, np.int64)]), np.repeat([n for _, n, _ in out], size).astype(np.int64), np.repeat([o for _, _, o in out], size).astype(bool)
 
 
-def near_forest(own: np.ndarray, visiting: np.ndarray, radius: int, block: int | None = None, block_radius: int = BLOCK, rows: int = 256, columns: int = 4096) -> list[tuple[int, int]]:
+def blocks(n: int, radius: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of blocks so that a pair beyond all their radii differs in more than `radius` bits; of the
+    numbers of blocks, the one for which looking up all values within them among n random fingerprints is cheapest."""
+
+    def plan(m: int) -> tuple[float, list[tuple[int, int, int]]]:
+        cut = [BITS * i // m for i in range(m + 1)]
+        spare, more = divmod(max(radius + 1 - m, 0), m)  # the radii and one for each block add up to radius + 1
+        out = [(cut[i], cut[i + 1] - cut[i], spare + (i < more)) for i in range(min(m, radius + 1))]
+        ball = [sum(math.comb(b, k) for k in range(min(r, b) + 1)) for _, b, r in out]
+        return sum(x * (1 + 8 * n / 2**b) for x, (_, b, _) in zip(ball, out, strict=True)), out
+
+    return min(plan(m) for m in range(12, 33))[1]
+
+
+class Index:
+    """Finds what is within a Hamming distance of its fingerprints (rows of four U64), and connects it."""
+
+    def __init__(self, own: np.ndarray, radius: int, rows: int = 1024, most: int = 1 << 20):
+        self.n, self.radius, self.rows, self.most = len(own), radius, rows, most
+        self.columns = [np.ascontiguousarray(own[:, k]) for k in range(own.shape[1])]
+        self.parent = np.arange(self.n)
+        self.parts = []
+        for start, bits, r in blocks(self.n, radius):
+            value = self._cut(self.columns, start, bits)
+            begins = np.concatenate(([0], np.cumsum(np.bincount(value, minlength=1 << bits)))).astype(np.int32)
+            masks = np.array([sum(1 << b for b in on) for k in range(min(r, bits) + 1) for on in itertools.combinations(range(bits), k)], np.int64)
+            self.parts.append((start, bits, masks, begins, np.argsort(value, kind="stable").astype(np.int32)))
+
+    @staticmethod
+    def _cut(columns: list[np.ndarray], start: int, bits: int) -> np.ndarray:
+        word, at = divmod(start, 64)
+        value = columns[word] >> U64(at)
+        if at + bits > 64:
+            value = value | (columns[word + 1] << U64(64 - at))
+        return (value & U64((1 << bits) - 1)).astype(np.int64)
+
+    def _near(self, forest: Forest, asked: list[np.ndarray], first: int, i: np.ndarray, j: np.ndarray) -> None:
+        """Joins those of the pairs (asked i, own j) that are near."""
+        if first < self.n:
+            later = j > first + i  # the others are found from their other side
+            i, j = i[later], j[later]
+        for k in (0, 2):  # a near pair is near over the first half
+            d = np.bitwise_count(asked[k][i] ^ self.columns[k][j]) + np.bitwise_count(asked[k + 1][i] ^ self.columns[k + 1][j]).astype(np.int16)
+            d = d if not k else d + so_far
+            i, j, so_far = i[d <= self.radius], j[d <= self.radius], d[d <= self.radius]
+        forest.join_pairs(first + i, j)
+
+    def search(self, asked: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """A spanning forest of the near pairs of asked and own (None: own and own), beyond what earlier calls connected;
+        indices count own first, then asked."""
+        forest = Forest(self.n + (0 if asked is None else len(asked)))
+        forest.parent[: self.n] = self.parent
+        columns = self.columns if asked is None else [np.ascontiguousarray(asked[:, k]) for k in range(asked.shape[1])]
+        base = 0 if asked is None else self.n
+        for a in range(0, len(columns[0]), self.rows):
+            some = [c[a : a + self.rows] for c in columns]
+            for start, bits, masks, begins, order in self.parts:
+                value = self._cut(some, start, bits)
+                for b in range(0, masks.size, 512):
+                    key = (value[:, None] ^ masks[None, b : b + 512]).ravel()
+                    begin = begins[key]
+                    count = begins[key + 1] - begin
+                    hit = np.flatnonzero(count)
+                    if not hit.size:
+                        continue
+                    row, begin, count = hit // min(512, masks.size - b), begin[hit].astype(np.int64), count[hit].astype(np.int64)
+                    ends = np.cumsum(count)
+                    for lo in range(0, int(ends[-1]), self.most):  # a value that many have is taken in pieces
+                        hi = min(lo + self.most, int(ends[-1]))
+                        x, y = np.searchsorted(ends, lo, "right"), np.searchsorted(ends, hi, "left") + 1
+                        size = np.minimum(ends[x:y], hi) - np.maximum(ends[x:y] - count[x:y], lo)
+                        place = np.arange(lo, hi) + np.repeat(begin[x:y] - (ends[x:y] - count[x:y]), size)
+                        self._near(forest, some, base + a, np.repeat(row[x:y], size), order[place])
+        self.parent = forest.labels()[: self.n].copy()
+        return forest.kept
+
+
+def near_forest(own: np.ndarray, visiting: np.ndarray, radius: int, rows: int = 1024, columns: int = 1024) -> list[tuple[int, int]]:
     """A spanning forest of the near pairs own-own and own-visiting; indices count own first, then visiting. Rows are 16
-    numbers of 16 bits; with block, only pairs within block_radius in that one count."""
-    every = np.concatenate([own, visiting])
-    whole = np.ascontiguousarray(every).view(U64)
-    forest = Forest(len(every))
-    single = np.ascontiguousarray(every[:, block or 0])
-    within = np.bitwise_count(np.arange(1 << BLOCK, dtype=np.uint16)) <= (BLOCK if block is None else block_radius)
-    for a in range(0, len(own), rows):
-        for b in range(a, len(every), columns):
-            close = within[single[a : min(a + rows, len(own)), None] ^ single[None, b : b + columns]]
-            i, j = np.nonzero(close)
-            if not i.size:
-                continue
-            far = np.bitwise_count(whole[a + i] ^ whole[b + j]).sum(axis=1) > radius
-            close[i[far], j[far]] = False
-            if not far.all():
-                forest.join(close, np.arange(a, a + close.shape[0]), np.arange(b, b + close.shape[1]))
-    return forest.kept
+    numbers of 16 bits; `rows` of them are looked up and rows x columns pairs compared at a time."""
+    index = Index(np.ascontiguousarray(own).view(U64), radius, rows, rows * columns)
+    return index.search() + index.search(np.ascontiguousarray(visiting).view(U64))
 
 
 def _fingerprint_rows(min_features: int):
@@ -155,36 +229,65 @@ def _fingerprint_rows(min_features: int):
     return run
 
 
-def _to_leaves(trees, radius: int):
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, BITS // 64)
+
+
+def _to_leaves(tree, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u2").reshape(-1, BITS // BLOCK)
-            for t, tree in enumerate(trees.value):
-                at, leaf, own = tree.visits(fp[:, t], radius)
-                for a in range(0, at.size, 20_000):
-                    s = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array((leaf[s] << 8) | t), pa.array(own[s]), batch.column("fp").take(pa.array(at[s]))], ["leaf", "own", "fp"])
+            at, leaf, own = tree.value.visits(_matrix(batch.column("fp")), radius)
+            for a in range(0, at.size, 20_000):
+                s = slice(a, a + 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[s]), pa.array(own[s]), batch.column("fp").take(pa.array(at[s]))], ["leaf", "own", "fp"])
 
     return run
 
 
-def _in_leaf(radius: int, block_radius: int):
+def _in_leaf(radius: int):
+    """Of each leaf its own rows come first and are held; its visitors pass by."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["leaf"]):
-            own = group.column("own").to_numpy()
-            fp = np.frombuffer(b"".join(group.column("fp").to_pylist()), "<u2").reshape(-1, BITS // BLOCK)
-            order = np.concatenate([np.flatnonzero(own), np.flatnonzero(~own)])
-            pairs = near_forest(fp[own], fp[~own], radius, group.column("leaf")[0].as_py() & 255, block_radius)
-            raw = fp[order]
-            yield pa.RecordBatch.from_arrays([pa.array([raw[i].tobytes() for i, _ in pairs], pa.binary()), pa.array([raw[j].tobytes() for _, j in pairs], pa.binary())], ["a", "b"])
+        leaf, held, index, own = None, [], None, None
+
+        def edges(every: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([every[x[k]].tobytes() for x in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        def build() -> pa.RecordBatch:
+            nonlocal index, own
+            own = np.concatenate(held or [np.zeros((0, BITS // 64), U64)])
+            held.clear()
+            index = Index(own, radius)
+            return edges(own, index.search())
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number, mine, fp = batch.column("leaf").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False), _matrix(batch.column("fp"))
+            cuts = [0, *(np.flatnonzero((number[1:] != number[:-1]) | (mine[1:] != mine[:-1])) + 1).tolist(), len(fp)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if number[a] != leaf:
+                    if held:
+                        yield build()
+                    leaf, index = number[a], None
+                if mine[a]:
+                    held.append(fp[a:b])
+                    continue
+                if index is None:
+                    yield build()
+                if index.n:
+                    yield edges(np.concatenate([own, fp[a:b]]), index.search(fp[a:b]))
+        if held:
+            yield build()
 
     return run
 
 
-def groups(docs: DataFrame, radius: int = 40, trees: int = 6, block_radius: int = 1, leaf: int = 2048, sample: int = 50_000, min_features: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, key, fp, root) for each document with words: root is its group's smallest fingerprint."""
+def groups(docs: DataFrame, radius: int = 40, leaf: int = 32_768, leaves: int = 32, sample: int = 50_000, min_features: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, key, fp, root) for each document with words: root is its group's smallest fingerprint. A leaf has about `leaf`
+    fingerprints, or more where that would make more than about `leaves` of them."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), F.lower(text_col).alias("text"))
@@ -193,11 +296,11 @@ def groups(docs: DataFrame, radius: int = 40, trees: int = 6, block_radius: int
     n = distinct.count()
     share = min(1.0, sample / max(n, 1))
     chosen = sorted(distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).toArrow().column("fp").to_pylist())  # in order, so that a run repeats
-    seen = np.frombuffer(b"".join(chosen), "<u2").reshape(-1, BITS // BLOCK)
-    built = [Tree(seen[:, t], n / max(len(chosen), 1), leaf, t) for t in range(trees)]
-    sent = spark.sparkContext.broadcast(built)
-    shards = distinct.mapInArrow(_to_leaves(sent, block_radius), "leaf long, own boolean, fp binary").repartition("leaf").sortWithinPartitions("leaf")
-    edges = shards.mapInArrow(_in_leaf(radius, block_radius), "a binary, b binary")
+    seen = np.frombuffer(b"".join(chosen), "<u8").reshape(-1, BITS // 64)
+    tree = Tree(seen, n / max(len(chosen), 1), max(leaf, n // leaves), 0, radius)
+    sent = spark.sparkContext.broadcast(tree)
+    shards = distinct.mapInArrow(_to_leaves(sent, radius), "leaf long, own boolean, fp binary").repartition(4 * tree.leaves, "leaf").sortWithinPartitions("leaf", F.desc("own"))
+    edges = shards.mapInArrow(_in_leaf(radius), "a binary, b binary")
     roots = components(edges)
     return found.join(roots, found["fp"] == roots["node"], "left").select("doc", "key", "fp", F.coalesce("root", "fp").alias("root"))
 

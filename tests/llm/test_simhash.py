@@ -70,6 +70,36 @@ def test_recall_against_brute_force(spark):
     assert len(pairs & want) >= 0.95 * len(want) and not pairs - want
 
 
+def test_every_pair_near_the_radius_is_found(spark):
+    """Groups of two at all distances up to the radius, which no third document connects."""
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20_000)]
+    rows = []
+    for i in range(400):
+        body = [r.choice(vocab) for _ in range(150)]
+        rows += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(r.choice(vocab) if r.random() < 0.02 + 0.1 * i / 400 else w for w in body))]
+    got = {x["doc"]: x for x in groups(frame(spark, rows), leaf=64).collect()}
+    fp = np.stack([np.frombuffer(bytes(got[i]["fp"]), np.uint64) for i in range(800)])
+    far = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
+    near = {(i, j) for i, j in zip(*np.nonzero(far <= 40), strict=True) if i < j}
+    assert sum(far[i, j] > 32 for i, j in near) > 30
+    assert near == {(i, j) for i, j in itertools.combinations(range(800), 2) if got[i]["root"] == got[j]["root"]}
+
+
+@pytest.mark.parametrize("radius", [0, 8, 40, 70])
+def test_index_against_brute_force(radius):
+    rng = np.random.default_rng(radius)
+    x = rng.integers(0, 1 << 64, (120, 4), np.uint64)
+    bits = np.zeros((120, 256), np.uint8)
+    for k in range(120):  # spread evenly or at random, just within the radius or just beyond it
+        at = np.arange(radius + k % 2) * 256 // (radius + 1) if k % 4 < 2 else rng.choice(256, radius + k % 2, replace=False)
+        bits[k, at] = 1
+    y = x ^ np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    for own, visiting in ((np.concatenate([x, y]), x[:0]), (x, y)):
+        pairs = near_forest(own.view(np.uint16), visiting.view(np.uint16), radius, rows=16, columns=8)
+        assert {tuple(sorted(p)) for p in pairs} == {(k, k + 120) for k in range(0, 120, 2)}
+
+
 def test_edges(spark):
     a = "one two three four five six seven eight nine ten"
     rows = [(5, a), (2, a.upper() + "!"), (9, a), (None, a), (3, None), (4, ""), (6, "..."), (7, ""), (8, "Short one."), (10, "short ONE"), (11, "one short"), (2, a.upper() + "!"), (12, " ".join(f"u{i % 5000}" for i in range(200_000)))]
