@@ -32,6 +32,8 @@ from quern.llm.common import pieces, ship, text_bytes
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Contractions, letters, digits, other signs (each with a leading space), white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A space within white space: PATTERN need not part there.
+INNER = regex.compile(r"\s ")
 CACHE, PAIRS = 250_000, 1_000_000
 
 
@@ -43,6 +45,7 @@ class Bpe:
         self.bytes_of = {i: b for b, i in self.rank.items()}
         self.size = {i: len(b) for i, b in self.bytes_of.items()}
         self.split = regex.compile(pattern).findall
+        self.by_space = pattern == PATTERN
         self.pairs: dict[int, bool] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -146,8 +149,9 @@ class Bpe:
         return out
 
     def _chunks(self, text: str) -> list[str]:
-        """Parts that are encoded on their own: before single spaces, or by the pattern where spaces run."""
-        if "  " in text or "\0" in text:
+        """Parts that are encoded on their own: before spaces, where PATTERN always parts unless white space precedes them; else
+        by the pattern."""
+        if not self.by_space or "\0" in text or INNER.search(text):
             return self.split(text)
         return text.replace(" ", "\0 ").split("\0")
 

@@ -27,6 +27,24 @@ def test_against_another_encoder(both, text):
     assert own.decode(ids) == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" ", "\u00a0", " \u00a0", "\u00a0 ", " \u00a0 \u00a0 ", "\u3000", "\u2028", "\x85", "\x1c", "\t", "\n", "a", "the", "1", "."]), max_size=16).map("".join))
+def test_white_space_of_other_kinds(both, text):
+    own, other = both
+    assert own.encode(text) == other.encode_ordinary(text)
+    assert own.encode("a \u00a0 \u00a0 b") == [64, 11504, 275]
+
+
+def test_another_pattern(both):
+    import tiktoken
+
+    pattern = r"[^\n]+|\n"
+    own = bpe.Bpe(bpe.read_vocabulary(bpe.VOCABULARY), pattern)
+    other = tiktoken.Encoding("lines", pat_str=pattern, mergeable_ranks=own.rank, special_tokens={})
+    for text in ("of the people in the world", "a \u00a0 \u00a0 b\n\n of the"):
+        assert own.encode(text) == other.encode_ordinary(text)
+
+
 def test_small_cache_changes_nothing(both, monkeypatch):
     own, other = both
     monkeypatch.setattr(bpe, "CACHE", 5)
