@@ -10,6 +10,9 @@ blocks are decided, then 'short' ones, each from pass one's decided blocks (for
 
 Stop words are those of the language of the html tag if it is known, else of the language of which most are found.
 
+A head ends at its end tag or before the first element that can't be in one; svg and math may close themselves; what else is
+hidden and lacks its end tag is hidden to the next block.
+
 Nulls and edge cases: null html gives null text, empty html an empty one; broken markup never fails (an unclosed comment or
 script hides the rest, a lone '<' is text); repeated rows are extracted each; extra columns are ignored; an empty table gives
 an empty result.
@@ -36,13 +39,50 @@ STOP = {
 }
 STOPS = {k: frozenset(v) for k, v in STOP.items()}
 HIDDEN = "script|style|noscript|template|svg|math|head|iframe|object|select|textarea"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+(?:[\"'][^<>]*)?>|<[!?][^>]*>", re.S | re.I)
+TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+(?:[\"'][^<>]*)?>"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*>|{TAG}|<[!?][^>]*>", re.S | re.I)
+IN_HEAD = re.compile(rf"<!--.*?(?:-->|\Z)|{TAG}", re.S | re.I)
+HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 BLOCK = frozenset("address article aside blockquote body br caption center col colgroup dd details dialog div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+NEXT = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK - {'option', 'title'}))})(?![a-zA-Z0-9:-])", re.I)
+CLOSE = {x: re.compile(rf"</{x}\s*>", re.I) for x in [*HIDDEN.split("|"), "title"]}
 LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
 SPACES = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def _hidden(markup: str, name: str, tag: str, at: int, open_: set[str]) -> int:
+    """Where the hidden element ends whose start tag ends at `at`; open_: names without any further end tag, so that each is
+    looked for to the page's end only once."""
+    if name in ("svg", "math") and tag.endswith("/>"):
+        return at
+    if name == "head":
+        return _head(markup, at, open_)
+    m = None if name in open_ else CLOSE[name].search(markup, at)
+    if m:
+        return m.end()
+    open_.add(name)
+    m = None if name == "script" else NEXT.search(markup, at)
+    return m.start() if m else len(markup)
+
+
+def _head(markup: str, at: int, open_: set[str]) -> int:
+    end = at  # of the last element seen
+    while m := IN_HEAD.search(markup, at):
+        name = (m[2] or "").lower()
+        at = m.end()
+        if m[1]:
+            if name == "head":
+                return at
+            if name == "body":
+                return m.start()
+            continue
+        if name and name not in HEAD:
+            return m.start()
+        end = at = _hidden(markup, name, m[0], at, open_) if name in CLOSE and name != "head" else at
+    return end
+
+
 def blocks(markup: str) -> list[tuple[str, int]]:
     """(text, characters within links) of each block that has text."""
     out: list[tuple[str, int]] = []
@@ -69,9 +109,10 @@ def blocks(markup: str) -> list[tuple[str, int]]:
                 linked += folded
 
     at = 0
-    for m in TOKEN.finditer(markup):
+    open_: set[str] = set()
+    while m := TOKEN.search(markup, at):
         take(markup[at : m.start()])
-        at = m.end()
+        at = m.end() if not m[1] else _hidden(markup, m[1].lower(), m[0], m.end(), open_)
         name = (m[3] or "").lower()
         if not name:
             if m[1]:

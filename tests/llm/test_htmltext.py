@@ -12,6 +12,27 @@ def test_blocks():
     assert blocks(page) == [("Home | News", 8), ("One & two three", 0), ("four", 0), ("five < six", 0), ("seven", 0)]
 
 
+def test_missing_end_tags_hide_no_article():
+    def texts(page):
+        return [t for t, _ in blocks(page)]
+
+    assert texts("<html><head><title>x</title><body><p>article") == ["article"]
+    assert texts("<html><head><meta content='a > <p>'><script>'<p>no'</script><!-- <p> --><title>x</title><p>article</p></html>") == ["article"]
+    assert texts("<head><title>x</title>article") == ["article"]
+    assert texts("<head><title>x</title> hidden <link rel=a></head>article<svg/>") == ["article"]
+    assert texts('<p>a <svg width="1"/> b</p><p>article') == ["a b", "article"]
+    assert texts("<p>a <math/> b <svg><title>no</title></svg> c</p><p>article") == ["a b c", "article"]
+    for name in ("style", "noscript", "template", "svg", "math", "iframe", "object", "select", "textarea"):
+        assert texts(f"<p>a <{name}><option>no<option>no</p><p>article</p>") == ["a", "article"], name
+    assert texts("<head><style>no<body><p>article") == ["article"]
+    assert texts("<p>a<script>no<p>no") == ["a"]
+
+
+def test_missing_end_tags_take_linear_time():
+    for tag in ("<select>", "<svg>", "<style>", "<head>", "<head><style>", "<title>"):
+        assert len(blocks(f"{tag}<p>x" * 100_000)) == 100_000
+
+
 def test_rules():
     assert first_pass([(GOOD, 0), (GOOD, 200), ("short", 0), ("short", 1), ("x" * 100, 0), ("© 2020", 0), (GOOD[:100], 0)], "en") == ["good", "bad", "short", "bad", "bad", "bad", "near"]
 
