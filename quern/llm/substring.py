@@ -85,12 +85,19 @@ class SuffixAutomaton:
         return out
 
 
+#: Windows that are looked at together: places of their grams take 24 bits beside a hash.
+PLACES = (1 << 24) - (1 << 16)
+
+
 def _buckets(h: np.ndarray, doc: np.ndarray, min_words: int, gram: int):
     """(hash of the minimizer, first word, last word) of each run of windows that share a minimizer."""
     empty = np.zeros(0, np.int64)
     n = h.size - min_words + 1
     if n <= 0:
         return empty.astype(U64), empty, empty
+    if n > PLACES:  # more than places hold: ranges that overlap by a window less a word
+        parts = [(a, _buckets(h[a : a + PLACES + min_words - 1], doc[a : a + PLACES + min_words - 1], min_words, gram)) for a in range(0, n, PLACES)]
+        return np.concatenate([m for _, (m, _, _) in parts]), np.concatenate([x + a for a, (_, x, _) in parts]), np.concatenate([y + a for a, (_, _, y) in parts])
     g = grams(h, gram)
     w = min_words - gram + 1
     packed = (g & ~U64(0xFFFFFF)) | np.arange(g.size, dtype=U64)

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
-from quern.llm.substring import SuffixAutomaton, repeated_spans, substring_dedup
+from quern.llm import substring
+from quern.llm.substring import SuffixAutomaton, _buckets, repeated_spans, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, key string, spans string, n_chars long"
 
@@ -37,6 +39,33 @@ def test_automaton_against_brute_force():
         assert a.statistics(q) == want
 
 
+def test_minimizers_of_a_very_long_text():
+    """Windows of a passage have the same minimizers at the start and beyond 2 ** 24 words."""
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 1 << 64, (1 << 24) + 2000, np.uint64)
+    far = (1 << 24) + 700
+    h[far : far + 200] = h[:200]
+    m, a, b = _buckets(h, np.zeros(h.size, np.int64), 50, 8)
+    n = b - a + 1 - 49  # windows
+    assert int(n.sum()) == h.size - 49 and a[0] == 0 and (a[1:] == a[:-1] + n[:-1]).all()
+    each = np.repeat(m, n)
+    assert (each[:151] == each[far : far + 151]).all()
+
+
+@pytest.mark.parametrize("places", [1, 7, 64])
+def test_ranges_change_no_minimizer(monkeypatch, places):
+    rng = np.random.default_rng(places)
+    h, doc = rng.integers(0, 1 << 64, 500, np.uint64), np.repeat([0, 1, 2], [300, 20, 180])
+
+    def windows():
+        m, a, b = _buckets(h, doc, 30, 5)
+        return [(p, x) for x, s, e in zip(m.tolist(), a.tolist(), b.tolist(), strict=True) for p in range(s, e - 28)]
+
+    want = windows()
+    monkeypatch.setattr(substring, "PLACES", places)
+    assert windows() == want
+
+
 def test_many_contents_in_a_bucket():
     r = random.Random(5)
     core = [r.randrange(1 << 32) for _ in range(20)]
