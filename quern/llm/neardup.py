@@ -5,7 +5,8 @@ bucket are compared exactly; those with a cosine of at least `threshold` are nea
 shares a bucket of some table with probability 0.94, at 0.95 with 0.99. A bucket reports a spanning forest of its near pairs;
 distributed connected components over all of them give the groups. Vectors that are equal bit by bit are compared once.
 A bucket beyond `block` distinct vectors is parted into blocks, every pair of which is a task of its own, so that a hot bucket
-neither fills a task's memory nor drops a pair. Raise `bits` with the table size (its share of pairs compared is tables / 2 ** bits).
+neither fills a task's memory nor drops a pair. Raise `bits` with the table size (its share of pairs compared is tables / 2 ** bits),
+and `tables` with `bits`, else recall falls: at cosine 0.9, 12 tables of 14 bits find 0.77 of pairs; 24 of 14 bits 0.95.
 
 Nulls and edge cases: null, empty and zero vectors and those with null, NaN or infinite parts are in no group; vectors of
 different widths are never near; a null id orders last and is no neighbour's id; rows that agree in id and vector are one;

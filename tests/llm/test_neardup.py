@@ -46,3 +46,20 @@ def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+
+
+def test_recall_of_production_tables_near_the_threshold(spark):
+    """Groups of two at cosines from 0.9 to 0.92, which no third vector connects."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(500):
+        a, b = rng.standard_normal((2, 64))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        cos = rng.uniform(0.9005, 0.92)
+        rows += [(2 * g, a), (2 * g + 1, cos * a + np.sqrt(1 - cos**2) * b / np.linalg.norm(b))]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = {(int(b), int(a)) for a, b in np.argwhere(np.triu(x @ x.T >= 0.9, 1))}
+    got = {(r["vec_id"], r["kept_vec_id"]) for r in near_duplicates(frame(spark, rows)).collect()}
+    assert len(near) == 500 and got <= near and len(got) >= 0.9 * len(near)
