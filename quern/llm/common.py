@@ -10,8 +10,9 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -55,6 +56,37 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+class Sieve:
+    """A Bloom filter of 64-bit keys, built in the cluster: `each` bits a key, but `most` bits in all (so what is broadcast is
+    bounded: 64 MB by default); beyond that more keys that aren't in it seem to be. Three bits of one 64-bit word are set."""
+
+    def __init__(self, keys: DataFrame, column: str, each: int = 16, most: int = 1 << 29):
+        n = keys.count()
+        self.log = max(7, min(max(each * n, 1 << 12) - 1, most - 1).bit_length()) - 6  # of the number of words
+        bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {at}) & 63 as int))" for at in (0, 6, 12))
+        pairs = keys.selectExpr(f"shiftrightunsigned(`{column}`, {64 - self.log}) as word", f"{bits} as bits")
+        got = pairs.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        self.words = np.zeros(1 << self.log, U64)
+        self.words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(U64)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """False only for keys (U64) that aren't in it."""
+        one = U64(1)
+        bits = one << (keys & U64(63)) | one << (keys >> U64(6) & U64(63)) | one << (keys >> U64(12) & U64(63))
+        return self.words[(keys >> U64(64 - self.log)).astype(np.int64)] & bits == bits
+
+
+def sift(df: DataFrame, key: Column, keys: DataFrame, column: str, **params) -> tuple[DataFrame, DataFrame]:
+    """df's rows that surely have no key in keys, and all others. Nothing is shuffled, and only `key` goes to Python."""
+    sent = df.sparkSession.sparkContext.broadcast(Sieve(keys, column, **params))
+
+    @F.pandas_udf("boolean")
+    def holds(x: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.holds(x.to_numpy(np.int64).view(U64)))
+
+    return df.where(~holds(key)), df.where(holds(key))
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """A column name that doesn't clash with columns (compared as Spark does, without case)."""
     taken = {c.lower() for c in columns}

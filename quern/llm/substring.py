@@ -7,9 +7,10 @@ smaller position). So the first occurrence of every passage stays and maximal la
 Reference shards. Every run of `min_words` words is assigned to the bucket of its minimizer (the smallest hash among its
 `gram`-word runs, leftmost first). Equal runs have equal minimizers, so all occurrences of a passage meet in one bucket, and
 a bucket sees at most 2 * min_words words around each. Buckets whose minimizer occurs once in the corpus hold no repeat and
-are never shuffled. Within a bucket the segments are streamed in corpus order through the suffix automaton of the segments
-before them; a match of length min_words or more is a repeated span. Contents of more than a few dozen distinct segments
-first drop those without any repeated run, so a hot passage with many different surroundings stays small.
+aren't shuffled, but for some that a filter of bounded size takes for others. Within a bucket the segments are streamed in
+corpus order through the suffix automaton of the segments before them; a match of length min_words or more is a repeated span.
+Segments without any repeated run are dropped first. A bucket of more than `hot` segments isn't gathered: there equal segments,
+then equal runs of min_words words are found by aggregation, with the same result.
 
 Nulls and edge cases: a null text stays null and an empty one stays empty; a null doc_id orders last; rows that agree in
 doc_id and text are one document (both keep the same text); other columns, whatever their names, pass through; an empty
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import U64, fresh, grams, materialise, mix, pieces, ship, sorted_groups, text_bytes, word_hashes, words
+from quern.llm.common import U64, Sieve, fresh, grams, materialise, mix, pieces, ship, sift, sorted_groups, text_bytes, word_hashes, words
 
 
 class SuffixAutomaton:
@@ -85,6 +86,7 @@ class SuffixAutomaton:
         return out
 
 
+SEGMENT = "m long, doc long, key long, at long, seg binary"
 #: Windows that are looked at together: places of their grams take 24 bits beside a hash.
 PLACES = (1 << 24) - (1 << 16)
 
@@ -130,22 +132,25 @@ def _count(min_words: int, gram: int, column: str):
         for part in pieces(batches, column):
             h, doc, *_ = _hashed(part, column)
             m, _, _ = _buckets(h, doc, min_words, gram)
-            u, n = np.unique(m, return_counts=True)
+            u, n = np.unique(mix(m), return_counts=True)  # minimizers are small numbers: spread them
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["m", "n"])
 
     return run
 
 
-def _segments(min_words: int, gram: int, bits: int, bitmap):
+def _segments(min_words: int, gram: int, many, hot, want_hot: bool = False):
+    """Segments of the buckets that `many` seems to hold: of those that `hot` seems to hold, or of the others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None if bitmap is None else bitmap.value
         for part in pieces(batches, "text"):
             h, doc, *_ = _hashed(part, "text")
             m, a, b = _buckets(h, doc, min_words, gram)
-            if table is not None and m.size:
-                slot = mix(m) >> U64(64 - bits)  # minimizers are small numbers: spread them
-                hit = np.flatnonzero(table[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8) & 1)
-                m, a, b = m[hit], a[hit], b[hit]
+            m = mix(m)
+            ok = many.value.holds(m)
+            if hot is not None:
+                ok &= hot.value.holds(m) == want_hot
+            hit = np.flatnonzero(ok)
+            m, a, b = m[hit], a[hit], b[hit]
             if not m.size:
                 continue
             row = doc[a]
@@ -162,6 +167,23 @@ def _segments(min_words: int, gram: int, bits: int, bitmap):
     return run
 
 
+def _windows(n: int):
+    """Every run of n symbols of each segment, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "seg"):
+            data, at = text_bytes(part.column("seg"))
+            of = np.repeat(np.arange(part.num_rows), np.diff(at) // 4)
+            g = grams(np.frombuffer(data.tobytes(), "<u4").astype(U64), n)
+            good = np.flatnonzero(of[: g.size] == of[n - 1 : n - 1 + g.size])
+            row = of[good]
+            take = pa.array(row)
+            place = part.column("at").to_numpy()[row] + good - at[row] // 4
+            yield pa.RecordBatch.from_arrays([pa.array(g[good].view(np.int64)), part.column("doc").take(take), part.column("key").take(take), pa.array(place)], ["w", "doc", "key", "at"])
+
+    return run
+
+
 def _with_repeats(contents: list[bytes], n: int) -> set[int]:
     """Which contents hold an n-symbol run that occurs in another one (equal 64-bit hashes count as equal runs)."""
     own = np.concatenate([np.frombuffer(c, "<u4") for c in contents]).astype(U64)
@@ -181,8 +203,7 @@ def repeated_spans(segs: list[bytes], n: int) -> list[list[tuple[int, int]]]:
     for s in segs:
         distinct.setdefault(s, len(distinct))
     if len(distinct) > 1:
-        contents = list(distinct)
-        wanted = _with_repeats(contents, n) if len(contents) > 32 else set(range(len(contents)))
+        wanted = _with_repeats(list(distinct), n)
         automaton = SuffixAutomaton()
     seen: set[bytes] = set()
     for s in segs:
@@ -234,16 +255,52 @@ def _match(min_words: int):
     return run
 
 
-def _cut(column: str, spans: str, chars: str | None, wide: bool):
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document with its spans, those that meet made one; the rows come sorted by document and start."""
+    held: pa.Table | None = None
+
+    def emit(t: pa.Table) -> pa.RecordBatch:
+        doc, key = t.column("doc").combine_chunks(), t.column("key").to_numpy()
+        number, null = pc.fill_null(doc, 0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False)
+        start = t.column("start").to_numpy()
+        end = start + t.column("length").to_numpy()
+        new = np.ones(t.num_rows, bool)
+        new[1:] = (number[1:] != number[:-1]) | (null[1:] != null[:-1]) | (key[1:] != key[:-1])
+        shift = np.cumsum(new) * (int(end.max(initial=0)) + 1)
+        reach = np.maximum.accumulate(end + shift) - shift
+        opens = new.copy()
+        opens[1:] |= start[1:] > reach[:-1]
+        first = np.flatnonzero(opens)
+        last = np.append(first[1:], t.num_rows) - 1
+        at = np.flatnonzero(new)
+        offsets = pa.array(np.append(np.searchsorted(first, at), first.size).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (start[first], reach[last])]
+        return pa.RecordBatch.from_arrays([doc.take(pa.array(at)), pa.array(key[at]), *lists], ["doc", "key", "starts", "ends"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        doc, key = t.column("doc"), t.column("key")
+        same = pc.and_(pc.equal(key, key[-1]), doc.is_null() if doc[-1].as_py() is None else pc.fill_null(pc.equal(doc, doc[-1]), False))
+        whole = t.num_rows - int(pc.sum(same).as_py())  # the last document may go on in the next batch
+        if whole:
+            yield emit(t.slice(0, whole))
+        held = t.slice(whole)
+    if held is not None:
+        yield emit(held)
+
+
+def _cut(column: str, starts: str, ends: str, chars: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, column, 4 << 20):
-            names = [n for n in part.schema.names if n != spans]
-            listed = part.column(spans)
-            rows = np.flatnonzero(pc.fill_null(pc.greater(pc.list_value_length(listed), 0), False).to_numpy(zero_copy_only=False))
+            names = [n for n in part.schema.names if n not in (starts, ends)]
+            rows = np.flatnonzero(part.column(starts).is_valid().to_numpy(zero_copy_only=False))
             columns = {n: part.column(n) for n in names}
             if rows.size:
-                texts, lists = part.column(column).take(pa.array(rows)).to_pylist(), listed.take(pa.array(rows)).to_pylist()
-                new = [_without(t, s) for t, s in zip(texts, lists, strict=True)]
+                at = pa.array(rows)
+                new = [_without(*x) for x in zip(*(part.column(c).take(at).to_pylist() for c in (column, starts, ends)), strict=True)]
                 mask = np.zeros(part.num_rows, bool)
                 mask[rows] = True
                 columns[column] = pc.replace_with_mask(part.column(column), pa.array(mask), pa.array(new, part.column(column).type))
@@ -255,61 +312,72 @@ def _cut(column: str, spans: str, chars: str | None, wide: bool):
     return run
 
 
-def _without(text: str, spans: list[dict]) -> str:
+def _without(text: str, starts: list[int], ends: list[int]) -> str:
+    """text without the words [start, end) of each span, and what follows each of them up to the next word."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
-    starts, _, _ = words(data, np.array([0, data.size]))
+    begins, _, _ = words(data, np.array([0, data.size]))
+    begins = [*begins.tolist(), data.size]
     out, done = [], 0
-    starts = [*starts.tolist(), data.size]
-    for s in sorted(spans, key=lambda s: s["start"]):
-        a, b = starts[s["start"]], starts[s["start"] + s["length"]]
-        if a > done:
-            out.append(raw[done:a])
-        done = max(done, b)
+    for a, b in zip(starts, ends, strict=True):
+        out.append(raw[done : begins[a]])
+        done = begins[b]
     return b"".join([*out, raw[done:]]).decode()
 
 
-def spans(docs: DataFrame, min_words: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text", bitmap_limit: int = 16_000_000) -> DataFrame:
+def _order() -> Column:
+    return F.struct(F.col("doc").isNull().alias("x"), "doc", "key", "at")
+
+
+def spans(docs: DataFrame, min_words: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text", hot: int = 8192, filter_bits: int = 1 << 29) -> DataFrame:
     """(doc, key, start, length): repeated spans in words; key is xxhash64 of the text. Spans of a document may overlap.
 
-    Minimizers that occur more than once are told by a bitmap, broadcast if there are at most `bitmap_limit` of them
-    (16 bits each, 32 MB); beyond that by a semi join.
+    Minimizers that occur more than once are told by a Bloom filter of at most `filter_bits`; the others that it lets by
+    have buckets of one segment. Buckets of more than `hot` segments take the way of _hot_spans.
     """
     if not 1 <= gram <= min_words:
         raise ValueError("gram must be between 1 and min_words")
     spark = docs.sparkSession
     ship(spark)
     text = docs.select(F.col(text_col).alias("text"))
-    many = materialise(text.mapInArrow(_count(min_words, gram, "text"), "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m"))
-    n = many.count()
+    many = materialise(text.mapInArrow(_count(min_words, gram, "text"), "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    schema = "m long, doc long, key long, at long, seg binary"
-    if n <= bitmap_limit:
-        bits = max(16, int(16 * max(n, 1)).bit_length())
-        slot = mix(many.toArrow().column("m").to_numpy().view(U64)) >> U64(64 - bits) if n else np.zeros(0, U64)
-        table = np.zeros(1 << (bits - 3), np.uint8)
-        np.bitwise_or.at(table, (slot >> U64(3)).astype(np.int64), (1 << (slot & U64(7)).astype(np.uint8)).astype(np.uint8))
-        segs = rows.mapInArrow(_segments(min_words, gram, bits, spark.sparkContext.broadcast(table)), schema)
-    else:
-        segs = rows.mapInArrow(_segments(min_words, gram, 0, None), schema).join(many, "m", "left_semi")
+    sieve = spark.sparkContext.broadcast(Sieve(many, "m", most=filter_bits))
+    crowded = many.where(F.col("n") > hot)
+    hot_sieve = None if crowded.isEmpty() else spark.sparkContext.broadcast(Sieve(crowded, "m", most=filter_bits))
+    segs = rows.mapInArrow(_segments(min_words, gram, sieve, hot_sieve), SEGMENT)
     shards = segs.repartition("m").sortWithinPartitions("m", F.col("doc").asc_nulls_last(), "key", "at")
-    return shards.mapInArrow(_match(min_words), "doc long, key long, start long, length long")
+    found = shards.mapInArrow(_match(min_words), "doc long, key long, start long, length long")
+    if hot_sieve is None:
+        return found
+    return found.unionByName(_hot_spans(rows.mapInArrow(_segments(min_words, gram, sieve, hot_sieve, True), SEGMENT), min_words))
+
+
+def _hot_spans(segs: DataFrame, n: int) -> DataFrame:
+    """The spans of crowded buckets, of which no task gets a whole one: equal segments are aggregated (before the shuffle too),
+    of which all but the first are repeated throughout; in the first ones, windows are aggregated likewise."""
+    segs = segs.withColumn("s", F.xxhash64("seg"))
+    firsts = materialise(segs.groupBy("m", "s").agg(F.min(_order()).alias("first"), F.first("seg").alias("seg")))
+    later = segs.select("m", "s", "doc", "key", "at", (F.octet_length("seg") / 4).cast("long").alias("length")).join(firsts.select("m", "s", "first").hint("merge"), ["m", "s"]).where(~_order().eqNullSafe(F.col("first")))
+    windows = firsts.select("first.doc", "first.key", "first.at", "seg").mapInArrow(_windows(n), "w long, doc long, key long, at long")
+    earliest = windows.groupBy("w").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "first")
+    again = windows.join(earliest.hint("merge"), "w").where(~_order().eqNullSafe(F.col("first")))
+    return later.select("doc", "key", F.col("at").alias("start"), "length").unionByName(again.select("doc", "key", F.col("at").alias("start"), F.lit(n).cast("long").alias("length")))
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text", broadcast_spans: int = 1_000_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, min_words: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """docs with repeated passages of min_words or more words removed from all but their first place (see the module).
 
-    The spans are broadcast if there are at most `broadcast_spans` of them, so that texts aren't shuffled; beyond that they
-    are joined as Spark sees fit.
+    Documents with spans are told by a Bloom filter of bounded size; only what it lets by is shuffled, to its spans.
     """
     cols = docs.columns
-    doc, key, mark = fresh("__doc", cols), fresh("__key", cols), fresh("__spans", cols)
-    found = spans(docs, min_words, gram, id_col, text_col)
-    found = found.groupBy("doc", "key").agg(F.collect_set(F.struct("start", "length")).alias(mark)).select(F.col("doc").alias(doc), F.col("key").alias(key), mark)
-    found = materialise(found)
-    if (found.agg(F.sum(F.size(mark))).first()[0] or 0) <= broadcast_spans:
-        found = F.broadcast(found)
-    left = docs.withColumn(key + "t", F.xxhash64(F.col(text_col)))
-    joined = left.join(found, F.col(id_col).cast("long").eqNullSafe(found[doc]) & (left[key + "t"] == found[key]), "left").select(*[left[f"`{c}`"] for c in cols], mark)
+    doc, key, starts, ends = (fresh(x, cols) for x in ("__doc", "__key", "__starts", "__ends"))
+    found = spans(docs, min_words, gram, id_col, text_col, **params).repartition("doc", "key").sortWithinPartitions("doc", "key", "start")
+    found = materialise(found.mapInArrow(_merge, "doc long, key long, starts array<long>, ends array<long>"))
+    text, number = F.xxhash64(F.col(text_col)), F.col(id_col).cast("long")
+    plain, some = sift(docs, F.xxhash64(number, text), found.select(F.xxhash64("doc", "key").alias("h")), "h")
+    found = found.select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("starts").alias(starts), F.col("ends").alias(ends))
+    left = some.withColumn(key + "t", text)
+    joined = left.join(found.hint("merge"), number.eqNullSafe(F.col(doc)) & (F.col(key + "t") == F.col(key)), "left").select(*[f"`{c}`" for c in cols], starts, ends)
     chars = next((f.name for f in docs.schema.fields if f.name == "n_chars" and isinstance(f.dataType, T.IntegralType)), None)
-    return joined.mapInArrow(_cut(text_col, mark, chars, False), docs.schema)
+    return plain.union(joined.mapInArrow(_cut(text_col, starts, ends, chars), docs.schema))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import substring
@@ -106,10 +107,38 @@ def test_edges(spark):
     assert again.count() == len(rows)
 
 
-def test_beyond_the_bitmap(spark):
-    from quern.llm import substring
-
-    rows = [(i, " ".join(f"y{j}" for j in range(60))) for i in range(3)]
-    a = substring.spans(frame(spark, rows)).collect()
-    b = substring.spans(frame(spark, rows), bitmap_limit=0).collect()
-    assert sorted(a) == sorted(b) and {x["doc"] for x in a} == {1, 2}
+@pytest.mark.parametrize("params", [{"hot": 0}, {"hot": 2}, {"filter_bits": 1 << 6}])
+def test_hot_buckets_and_full_filters_change_nothing(spark, params):
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(9)]
+    passage = " ".join(r.choice(vocab) for _ in range(20))
+    rows = [(i, " ".join([*(r.choice(vocab) for _ in range(r.randrange(12))), passage, *(r.choice(vocab) for _ in range(r.randrange(12)))])) for i in range(40)]
+    rows += [(None, rows[3][1]), (50, "la " * 30), (51, "la " * 9), (3, rows[3][1])]
+    got = {(x["doc_id"], x["text"]) for x in substring_dedup(frame(spark, rows), min_words=8, gram=3, **params).collect()}
+    assert got == {(x["doc_id"], x["text"]) for x in substring_dedup(frame(spark, rows), min_words=8, gram=3).collect()}
+    distinct = [*rows[:40], *rows[41:43], rows[40]]
+    texts = {i: t.split() for i, t in got}
+    assert [texts[i] for i, _ in distinct] == brute(distinct, 8)
+
+
+def test_spans_that_meet_are_one():
+    doc = [1, 1, 1, 1, 2, 2, None, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, [7, 7, 7, 8, 8, 8, 8, 8], [0, 5, 20, 3, 0, 9, 0, 2], [10, 5, 5, 5, 9, 1, 5, 1])], ["doc", "key", "start", "length"])
+    want = [(1, 7, [0, 20], [10, 25]), (1, 8, [3], [8]), (2, 8, [0], [10]), (None, 8, [0], [5])]
+    for step in (1, 3, 8):
+        out = [r for b in substring._merge(batch.slice(i, step) for i in range(0, 8, step)) for r in b.to_pylist()]
+        assert [tuple(r.values()) for r in out] == want
+
+
+def test_the_filter_misses_no_key(spark):
+    from pyspark.sql import functions as F
+
+    from quern.llm.common import Sieve
+
+    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    own = np.array([r["h"] for r in keys.collect()]).view(np.uint64)
+    other = np.array([r["h"] for r in spark.range(10_000, 30_000).select(F.xxhash64("id").alias("h")).collect()]).view(np.uint64)
+    full, tight = Sieve(keys, "h"), Sieve(keys, "h", most=1 << 10)
+    assert full.holds(own).all() and tight.holds(own).all()
+    assert full.holds(other).mean() < 0.02 and tight.words.size == 16
+    assert not Sieve(keys.limit(0), "h").holds(other).any()
