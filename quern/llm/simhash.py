@@ -29,12 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import NOT_WORD, U64, Forest, components, fresh, materialise, mix, pieces, ship, text_bytes, word_hashes, words
+from quern.llm.common import NOT_WORD, U64, Forest, components, fresh, materialise, mix, pieces, ship, sift, text_bytes, word_hashes, words
 
 BITS = 256
+#: What NOT_WORD leaves of a text.
+A_WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 
 
 def fingerprints(column: pa.Array, min_features: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -313,28 +314,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return both.select(F.col("doc").alias("doc_id"), F.col("first.doc").alias("kept_doc_id"))
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **params) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 29, **params) -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest doc_id (then text hash).
 
-    What goes is told by pairs of numbers, broadcast if there are at most `broadcast_rows` of them, so that texts aren't
-    shuffled; beyond that it is joined as Spark sees fit.
+    What may go is told by a Bloom filter of bounded size; only what it lets by is shuffled, to the marks of what goes. Of
+    rows that agree in doc_id and text one is left before that shuffle already.
     """
     every = groups(docs, id_col=id_col, text_col=text_col, **params).select("doc", "key", "root")
     first = every.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     marks = every.join(first, "root").groupBy("doc", "key").agg(F.max(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("key") == F.col("first.key"))).alias("stays"), F.count(F.lit(1)).alias("copies"))
     marks = materialise(marks.where("not stays or copies > 1"))
-    small = marks.count() <= broadcast_rows
     cols = docs.columns
-    key, doc, stays, nth = (fresh(x, cols) for x in ("__key", "__doc", "__stays", "__nth"))
-    marks = marks.select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("stays").alias(stays))
-    marks = F.broadcast(marks) if small else marks
-    left = docs.withColumn(key + "t", F.xxhash64(F.col(text_col)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (left[key + "t"] == marks[key])
-    gone = left.join(marks.where(~F.col(stays)), same, "left_anti")
-    # rows repeated in doc_id and text are told apart only where such rows exist
-    twice = marks.where(F.col(stays))
-    if twice.isEmpty():
-        return gone.select(*[F.col(f"`{c}`") for c in cols])
-    plain = gone.join(twice, same, "left_anti").select(*[F.col(f"`{c}`") for c in cols])
-    again = gone.join(twice, same, "left_semi").withColumn(nth, F.row_number().over(W.partitionBy(id_col, key + "t").orderBy(F.lit(0)))).where(F.col(nth) == 1)
-    return plain.unionByName(again.select(*[F.col(f"`{c}`") for c in cols]))
+    key, doc, kind = (fresh(x, cols) for x in ("__key", "__doc", "__kind"))
+    text, number = F.xxhash64(F.col(text_col)), F.col(id_col).cast("long")
+    plain, some = sift(docs, F.xxhash64(number, text), marks.select(F.xxhash64("doc", "key").alias("h")), "h", most=filter_bits)
+    # a row without words has no copies: it stays, told from its like by a number
+    null = F.when(number.isNull(), -1).otherwise(0).cast("long")
+    worded = F.coalesce(F.lower(text_col).rlike(A_WORD), F.lit(False))
+    some = some.withColumn(doc, F.coalesce(number, F.lit(0))).withColumn(key, text).withColumn(kind, F.when(worded, null).otherwise(F.monotonically_increasing_id() + 1))
+    once = some.groupBy(doc, key, kind).agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in cols])
+    gone = marks.where("not stays").select(F.coalesce("doc", F.lit(0)).alias(doc), F.col("key").alias(key), F.when(F.col("doc").isNull(), -1).otherwise(0).cast("long").alias(kind))
+    return plain.union(once.join(gone.hint("merge"), [doc, key, kind], "left_anti").select(*[f"`{c}`" for c in cols]))

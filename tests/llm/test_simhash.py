@@ -105,9 +105,11 @@ def test_edges(spark):
     rows = [(5, a), (2, a.upper() + "!"), (9, a), (None, a), (3, None), (4, ""), (6, "..."), (7, ""), (8, "Short one."), (10, "short ONE"), (11, "one short"), (2, a.upper() + "!"), (12, " ".join(f"u{i % 5000}" for i in range(200_000)))]
     pairs = {(x["doc_id"], x["kept_doc_id"]) for x in near_duplicates(frame(spark, rows)).collect()}
     assert pairs == {(5, 2), (9, 2), (None, 2), (10, 8)}
-    out = simhash_dedup(frame(spark, rows))
-    assert out.columns == ["doc_id", "text", "root", "fp"]
-    assert sorted(x["doc_id"] for x in out.collect()) == [2, 3, 4, 6, 7, 8, 11, 12]
+    rows += [(3, None), (6, "..."), (6, "..."), (None, "")]
+    for params in ({}, {"filter_bits": 64}):  # a filter that is full lets all rows by
+        out = simhash_dedup(frame(spark, rows), **params)
+        assert out.columns == ["doc_id", "text", "root", "fp"]
+        assert sorted((x["doc_id"] or 0) for x in out.collect()) == [0, 2, 3, 3, 4, 6, 6, 6, 7, 8, 11, 12]
     assert near_duplicates(frame(spark, [])).count() == 0 and simhash_dedup(frame(spark, [])).count() == 0
 
 
