@@ -7,18 +7,24 @@ and tries again (append) or gives up (compact). Readers use the newest manifest
 or jobs that were lost are in no manifest.
 
 Compaction groups files into tiers by size (each tier `fanout` times the one below; files of `target` bytes or more are done).
-A tier with `fanout` or more files is merged into files of about `target` bytes or, if it has less than that, into one; so
-every row is rewritten a logarithmic number of times. Row order within a merged file is that of its parts.
+A tier with `fanout` or more files is merged into as many files of at least about `target` bytes as it fills or, if it has
+less than that, into one; so every merge lowers the number of files, and every row is rewritten a logarithmic number of times.
+Row order within a merged file is that of its parts.
+
+A writer announces the folder that it writes to in `intents/` and withdraws that after its commit. retire() looks at the files
+first, then at the intents, then at the manifests, so that a file is either of a writer at work, or in a manifest if that
+writer committed. An intent older than `grace` seconds is one of a writer that died.
 
 Nulls and edge cases: rows are stored as they are, repeated rows and null columns included; the schema is that of the first
 append and later ones must have the same columns (any order); appending an empty table commits a version without new files;
-a store without versions reads as an error, one without files as an empty table; retire() deletes files no manifest from
-`keep` versions back has.
+a store without versions reads as an error, one without files as an empty table; retire() deletes files that no
+manifest from `keep` versions back has and no writer at work announced.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -111,23 +117,33 @@ class Store:
         names = [f.name for f in T.StructType.fromJson(json.loads(schema)).fields]
         if sorted(names) != sorted(kept.columns):
             raise ValueError(f"columns differ from the store's: {kept.columns}")
-        folder = f"{self.folder}/data/{uuid.uuid4().hex}"
+        folder, intent = self._announce()
         ordered = df.select(*[F.col(f"`{n}`") for n in names], *([F.col(f"`{arrival}`")] if arrival else []))
-        (ordered.write.partitionBy(arrival) if arrival else ordered.write).parquet(folder)
-        parts: dict[str, list[File]] = {}
-        for f in self._written(folder):
-            parts.setdefault(f.path[: f.path.rindex("/")] if arrival else "", []).append(f)
         done = []
-        for _, files in sorted(parts.items()) or [("", [])]:
-            while True:
-                base = self.current()
-                try:
-                    done.append(self.commit(base, (*(base.files if base else ()), *files), schema))
-                    break
-                except Conflict:
-                    continue
+        try:
+            (ordered.write.partitionBy(arrival) if arrival else ordered.write).parquet(folder)
+            parts: dict[str, list[File]] = {}
+            for f in self._written(folder):
+                parts.setdefault(f.path[: f.path.rindex("/")] if arrival else "", []).append(f)
+            for _, files in sorted(parts.items()) or [("", [])]:
+                while True:
+                    base = self.current()
+                    try:
+                        done.append(self.commit(base, (*(base.files if base else ()), *files), schema))
+                        break
+                    except Conflict:
+                        continue
+        finally:
+            self.fs.delete(intent, False)
         return done
 
+    def _announce(self):
+        """A new folder for data and the intent that announces it."""
+        name = uuid.uuid4().hex
+        intent = self._path(f"intents/{name}")
+        self.fs.create(intent, False).close()
+        return f"{self.folder}/data/{name}", intent
+
     def _tier(self, size: int) -> int:
         tier, top = 0, 1 << 16
         while size > top:
@@ -146,14 +162,19 @@ class Store:
         """Merges until no tier is full; each merge is a version. Returns the newest."""
         base = self.current()
         while base and (runs := self.plan(base)):
-            merged, gone = [], set()
-            for run in runs:
-                size = sum(f.size for f in run)
-                folder = f"{self.folder}/data/{uuid.uuid4().hex}"
-                self._load(tuple(run), base.schema).coalesce(max(1, round(size / self.target))).write.parquet(folder)
-                merged += self._written(folder)
-                gone |= {f.path for f in run}
-            base = self.commit(base, (*(f for f in base.files if f.path not in gone), *merged), base.schema)
+            merged, gone, intents = [], set(), []
+            try:
+                for run in runs:
+                    folder, intent = self._announce()
+                    intents.append(intent)
+                    full = max(1, sum(f.size for f in run) // self.target)  # fewer than files, each of which is smaller than target
+                    self._load(tuple(run), base.schema).coalesce(full).write.parquet(folder)
+                    merged += self._written(folder)
+                    gone |= {f.path for f in run}
+                base = self.commit(base, (*(f for f in base.files if f.path not in gone), *merged), base.schema)
+            finally:
+                for intent in intents:
+                    self.fs.delete(intent, False)
         return base
 
     def _load(self, files: tuple[File, ...], schema: str) -> DataFrame:
@@ -168,13 +189,18 @@ class Store:
             raise FileNotFoundError(self.folder)
         return self._load(found.files, found.schema)
 
-    def retire(self, keep: int = 1) -> int:
-        """Deletes files that none of the newest `keep` versions has; older versions can't be read then. Returns how many."""
+    def retire(self, keep: int = 1, grace: float = 86_400) -> int:
+        """Deletes files that none of the newest `keep` versions has and that no writer announced within `grace` seconds; older
+        versions can't be read then. Returns how many."""
+        files = self._written(f"{self.folder}/data")
+        since = (time.time() - grace) * 1000
+        busy = {s.getPath().getName() for s in self._list(self._path("intents")) if s.getModificationTime() >= since}
         now = self.current()
         if not now:
             return 0
         used = {f.path for n in range(max(1, now.number - keep + 1), now.number + 1) for f in self.version(n).files}
-        gone = [f for f in self._written(f"{self.folder}/data") if f.path not in used]
+        root = len(self.fs.makeQualified(self._path("data")).toString()) + 1
+        gone = [f for f in files if f.path not in used and f.path[root:].split("/")[0] not in busy]
         for f in gone:
             self.fs.delete(self.java.Path(f.path), False)
         return len(gone)

@@ -69,3 +69,33 @@ def test_commit_is_atomic(spark):
     [t.start() for t in threads]
     [t.join() for t in threads]
     assert not errors and sorted(x[0] for x in store.read().collect()) == [0, 1, 2, 10, 11, 12, 13]
+
+
+def test_compaction_of_nearly_full_files_ends(spark):
+    store = Store(spark, shared_dir(spark), fanout=4)
+    df = spark.range(0, 4000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    for k in range(4):
+        store.append(df.where(F.col("doc_id") % 4 == k).coalesce(1))
+    before = store.current()
+    store.target = max(f.size for f in before.files) * 10 // 9
+    after = store.compact()
+    assert after.number == before.number + 1 and len(after.files) == 3
+    assert all(f.size >= store.target for f in after.files) or not store.plan(after)
+    assert rows_of(store.read()) == rows_of(df)
+
+
+def test_retire_spares_a_writer_at_work(spark):
+    store = Store(spark, shared_dir(spark))
+    store.append(spark.range(3).toDF("doc_id"))
+    folder, intent = store._announce()
+    spark.range(5, 7).toDF("doc_id").coalesce(1).write.parquet(folder)
+    files = store._written(folder)
+    assert files and store.retire() == 0
+    base = store.current()
+    store.commit(base, (*base.files, *files), base.schema)
+    store.fs.delete(intent, False)
+    assert store.retire() == 0 and sorted(r[0] for r in store.read().collect()) == [0, 1, 2, 5, 6]
+    dead, _ = store._announce()
+    spark.range(9).toDF("doc_id").write.parquet(dead)
+    assert store.retire() == 0 and store.retire(grace=-60) == len(spark.range(9).rdd.glom().collect())
+    assert store.read().count() == 5
