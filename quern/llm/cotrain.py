@@ -2,12 +2,16 @@
 
 Target: a document is good when its label says quality 1 and toxic 0. Text view: which words (of a vocabulary found in the
 sample) and which shapes (binned shares of signs, capitals, repeats, ...) occur. Metadata view: language, source and length
-class. Both are logistic regressions. In each round each view is calibrated on held-out labels and gives its confident
-documents of the unlabelled pool, with their pseudo-labels, to the other view's training set. At the end the two calibrated
-views are combined by a logistic regression on the held-out labels, and every document is scored.
+class. Both are logistic regressions. In each round each view is calibrated on held-out labels and gives a pseudo-label to
+every document without label that it is sure of; the other view is fitted again to the labels and to these. At the end the two
+calibrated views are combined by a logistic regression on the held-out labels, and every document is scored.
 
-Fitting takes bounded samples, chosen by hash: at most `labelled` labelled and `pool` unlabelled documents; the statistics of
-the model come from these alone, and all documents are scored by whole text.
+Only labelled rows are sampled: the `labelled` documents with the smallest hashes, which also give the vocabulary. All others
+take part in the exchange: their features are found once and written to the shared folder (copies with the same metadata
+once), and in a round each task adds up, by feature, the pseudo-labels and the gradient of the other view's loss and a bound of
+its curvature. These sums (one row a feature, whole numbers, so that their order doesn't matter) bound the loss over all
+pseudo-labels from above, and the driver lowers that bound together with the loss over the labels. Pseudo-labels together
+weigh half of the labels, or less where each would weigh more than a label; so the fit is alike at every size.
 
 Nulls and edge cases: labels with a null doc_id or both labels null are ignored, several labels of a document count as bad if
 any is; a null or empty text has no words but a shape of its own; null metadata is a value of its own; without labels of both
@@ -19,15 +23,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import pieces, ship
+from quern.llm.common import materialise, pieces, ship, text_bytes
 
 WORD = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"[!-/:-@\[-`{-~]{2,}")
@@ -102,34 +106,57 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, size: int, l2: float, least: int, z: float, steps: int = 400) -> View:
+@dataclass
+class Pull:
+    """What a view gets of the other one, by feature: shares of pseudo-labels, and gradient and bound of the curvature of their
+    loss at the view's weights; the last entry is the bias. weight: that of all of them, where the labels' is 1."""
+
+    good: np.ndarray
+    bad: np.ndarray
+    gradient: np.ndarray
+    curvature: np.ndarray
+    weight: float
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, size: int, l2: float, least: int, z: float, steps: int = 400, pull: Pull | None = None, start: View | None = None) -> View:
     """Full-batch AdaGrad on features that at least `least` rows have and whose shares among good and bad rows differ by z
     standard errors or more."""
     every = np.concatenate([*rows, np.zeros(0, np.int32)])
     row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    count, good = np.bincount(every, minlength=size), np.bincount(every, y[row], size)
+    count, good = np.bincount(every, minlength=size).astype(float), np.bincount(every, y[row], size)
     n1 = float(y.sum())
     n0 = len(y) - n1
-    share = count / len(y)
+    w0, b0 = np.zeros(size), float(np.log((n1 + 1) / (n0 + 1)))
+    b = b0
+    if pull is not None:
+        as_rows = pull.weight * len(y)
+        good = good + as_rows * pull.good[:-1]
+        count = count + as_rows * (pull.good + pull.bad)[:-1]
+        n1, n0 = n1 + as_rows * pull.good[-1], n0 + as_rows * pull.bad[-1]
+        w0, b = start.by_number, start.bias
+    share = count / (n1 + n0)
     error = np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
     tells = (count >= least) & (np.abs(good / n1 - (count - good) / n0) >= z * error)
     number = np.cumsum(tells) - 1
     use = tells[every]
     row, col, k = row[use], number[every[use]], int(tells.sum())
-    w, b = np.zeros(k), float(np.log((n1 + 1) / (n0 + 1)))
-    b0 = b
+    w0, at = w0[tells], b
+    w = w0.copy()
     gw, gb = np.full(k, 1e-8), 1e-8
     for _ in range(steps):
         e = _sigmoid(np.bincount(row, w[col], len(rows)) + b) - y
         g = np.bincount(col, e[row], k) / len(rows) + l2 * w
+        d = e.mean() + l2 * (b - b0)
+        if pull is not None:
+            g += pull.weight * (pull.gradient[:-1][tells] + pull.curvature[:-1][tells] * (w - w0))
+            d += pull.weight * (pull.gradient[-1] + pull.curvature[-1] * (b - at))
         gw += g * g
         w -= 0.3 * g / np.sqrt(gw)
-        d = e.mean() + l2 * (b - b0)
         gb += d * d
         b -= 0.3 * d / np.sqrt(gb)
     weights = np.zeros(size)
     weights[tells] = w
-    return View(bias=b, by_number=weights)
+    return View(bias=float(b), by_number=weights)
 
 
 def _platt(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
@@ -175,8 +202,13 @@ class Model:
         return tuple(float(1 / (1 + np.exp(-np.clip(v, -30, 30)))) for v in (a, b, both))
 
 
-def cotrain(labelled: list[tuple[np.ndarray, np.ndarray, int]], pool: list[tuple[np.ndarray, np.ndarray]], index: tuple[Index, Index], rounds: int = 3, sure: float = 0.97, grow: int = 400) -> Model:
-    """labelled: (text features, metadata features, good) by number; every fifth is held out for calibration."""
+SETTINGS = [(1e-4, 4, 3.0), (1e-3, 5, 2.0)]  # of the text and the metadata view: l2, least, z
+UNIT = 1 << 20  # of the gradient's sums
+
+
+def cotrain(labelled: list[tuple[np.ndarray, np.ndarray, int]], index: tuple[Index, Index], exchange: Callable[[list[View], int], tuple[list[Pull | None], int]], rounds: int = 3) -> Model:
+    """labelled: (text features, metadata features, good) by number; every fifth is held out for calibration. exchange: what
+    each view gets from the other one's pseudo-labels."""
     y = np.array([g for _, _, g in labelled], float)
     if len(set(y.tolist())) < 2:
         return Model(View(), View(), constant=float(y[0]) if len(y) else 1.0)
@@ -184,47 +216,139 @@ def cotrain(labelled: list[tuple[np.ndarray, np.ndarray, int]], pool: list[tuple
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(labelled), bool)
     train, check = np.flatnonzero(~held), np.flatnonzero(held if held.any() else ~held)
+    data = [[labelled[i][v] for i in train] for v in (0, 1)]
     views: list[View] = []
-    data = [([labelled[i][v] for i in train], y[train].tolist()) for v in (0, 1)]
-    taken: list[set[int]] = [set(), set()]
-    settings = [(1e-4, 4, 3.0), (1e-3, 5, 2.0)]
+    pulls: list[Pull | None] = [None, None]
+    exchanged = 0
     for r in range(rounds + 1):
-        views = [calibrate(fit(data[v][0], np.array(data[v][1]), len(index[v]), *settings[v]), [labelled[i][v] for i in check], y[check]) for v in (0, 1)]
+        views = [fit(data[v], y[train], len(index[v]), *SETTINGS[v], 200 if pulls[v] else 400, pulls[v], views[v] if views else None) if not r or pulls[v] else views[v] for v in (0, 1)]
+        views = [calibrate(views[v], [labelled[i][v] for i in check], y[check]) for v in (0, 1)]
         if r == rounds:
             break
-        for v in (0, 1):  # what view v is sure of goes to the other one
-            p = _sigmoid(views[v].logits([x[v] for x in pool])) if pool else np.zeros(0)
-            for good, order in ((1.0, np.argsort(-p, kind="stable")), (0.0, np.argsort(p, kind="stable"))):
-                own = [i for i in order.tolist() if (p[i] >= sure if good else p[i] <= 1 - sure) and i not in taken[1 - v]][:grow]
-                taken[1 - v].update(own)
-                data[1 - v][0].extend(pool[i][1 - v] for i in own)
-                data[1 - v][1].extend([good] * len(own))
+        pulls, exchanged = exchange(views, len(train))
+        if pulls == [None, None]:
+            break
     logits = np.column_stack([views[v].logits([labelled[i][v] for i in check]) for v in (0, 1)])
     a, b, c = _platt(logits, y[check])
-    model = Model(views[0].named(index[0]), views[1].named(index[1]), (float(a), float(b), float(c)), exchanged=sum(map(len, taken)))
+    model = Model(views[0].named(index[0]), views[1].named(index[1]), (float(a), float(b), float(c)), exchanged=exchanged)
     model.heldout_accuracy = float((((logits @ [a, b]) + c > 0) == (y[check] > 0)).mean())
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 4000, rounds: int = 3) -> Model:
-    """Fits on bounded samples: the `labelled` and `pool` documents with the smallest hashes of doc_id."""
-    key = F.xxhash64(F.lit("cotrain"), F.col("doc_id"))
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of 4-byte numbers and the row of each."""
+    data, at = text_bytes(column)
+    return np.frombuffer(data.tobytes(), "<i4"), np.repeat(np.arange(len(column)), np.diff(at) // 4)
+
+
+def _sums(views, sure: float):
+    """(view, feature, good, bad, gradient, curvature): of the documents that the other view is sure of, how many with the
+    feature it takes for good and for bad, and the sums over them of the view's error and of their number of features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[View] = views.value
+        total = [np.zeros((4, v.by_number.size + 1), np.int64) for v in own]
+        for batch in batches:
+            n = batch.num_rows
+            flat = [_flat(batch.column(c)) for c in ("t", "m")]
+            z = [v.bias + np.bincount(row, v.by_number[f], n) for v, (f, row) in zip(own, flat, strict=True)]
+            for v in (0, 1):
+                other, (f, row) = own[1 - v], flat[v]
+                p = _sigmoid(other.slope * z[1 - v] + other.shift)
+                good, bad = p >= sure, p <= 1 - sure
+                error = np.where(good | bad, np.rint((_sigmoid(z[v]) - good) * UNIT), 0)
+                size = np.where(good | bad, np.bincount(row, minlength=n) + 1, 0)
+                for k, x in enumerate((good, bad, error, size)):
+                    total[v][k, :-1] += np.bincount(f, x[row], total[v].shape[1] - 1).astype(np.int64)
+                    total[v][k, -1] += int(x.sum())
+        for v in (0, 1):
+            some = np.flatnonzero(total[v].any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(some.size, v)), pa.array(some), *(pa.array(x[some]) for x in total[v])], SUMS)
+
+    return run
+
+
+SUMS = ["v", "f", "good", "bad", "gradient", "curvature"]
+
+
+def exchange_over(features: DataFrame, sure: float = 0.97) -> Callable[[list[View], int], tuple[list[Pull | None], int]]:
+    """The exchange over all rows of features (t binary, m binary: numbers of features)."""
+    spark = features.sparkSession
+
+    def exchange(views: list[View], labels: int) -> tuple[list[Pull | None], int]:
+        sent = spark.sparkContext.broadcast(views)
+        rows = features.mapInArrow(_sums(sent, sure), ", ".join(f"{c} long" for c in SUMS))
+        got = rows.groupBy("v", "f").agg(*[F.sum(c).alias(c) for c in SUMS[2:]]).toArrow()
+        v, f = got.column("v").to_numpy(), got.column("f").to_numpy()
+        pulls: list[Pull | None] = []
+        count = 0
+        for k in (0, 1):
+            total = np.zeros((4, views[k].by_number.size + 1))
+            for j, c in enumerate(SUMS[2:]):
+                total[j, f[v == k]] = got.column(c).to_numpy()[v == k]
+            n = total[0, -1] + total[1, -1]
+            count += int(n)
+            good, bad, gradient, curvature = total / max(n, 1)
+            # p (1 - p) <= 1/4, and a square of a sum of k terms <= k times the sum of squares
+            pulls.append(Pull(good, bad, gradient / UNIT, curvature / 4, min(0.5, n / labels)) if n else None)
+        return pulls, count
+
+    return exchange
+
+
+META = (("lang", "string"), ("source", "string"), ("n_chars", "long"))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col("text"), *[F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in META]]
+
+
+def _named_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in pieces(batches, "text", 2 << 20):
+        text = [sorted(text_features(t)) for t in part.column("text").to_pylist()]
+        meta = [sorted(meta_features(*x)) for x in zip(*(part.column(c).to_pylist() for c, _ in META), strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("place"), part.column("good"), pa.array(text, pa.list_(pa.string())), pa.array(meta, pa.list_(pa.string()))], ["doc_id", "place", "good", "t", "m"])
+
+
+def _numbered_features(known):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, meta, starts = known.value
+        pack = lambda found, numbers: np.array(sorted(numbers[x] for x in found if x in numbers), "<i4").tobytes()
+        for part in pieces(batches, "text", 2 << 20):
+            t = [pack(text_features(x, starts), text) for x in part.column("text").to_pylist()]
+            m = [pack(meta_features(*x), meta) for x in zip(*(part.column(c).to_pylist() for c, _ in META), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(t, pa.binary()), pa.array(m, pa.binary())], ["key", "t", "m"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 6000, rounds: int = 3, sure: float = 0.97) -> Model:
+    """Fits on the labels of the `labelled` documents with the smallest hashes of doc_id and on all other documents."""
+    spark = docs.sparkSession
+    ship(spark)
+    place = F.xxhash64(F.lit("cotrain"), F.col("doc_id"))
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
     known = known.groupBy("doc_id").agg(F.min((F.coalesce("quality", F.lit(1)) >= 1) & (F.coalesce("toxic", F.lit(0)) <= 0)).cast("int").alias("good"))
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    chosen = ids.join(known, "doc_id").orderBy(key, "doc_id").limit(labelled)
-    others = ids.join(known, "doc_id", "left_anti").orderBy(key, "doc_id").limit(pool).withColumn("good", F.lit(None).cast("int"))
-    sample = chosen.unionByName(others)
-    columns = [F.col("doc_id"), F.col("text"), *[F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))]]
-    rows = docs.select(*columns).join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64(F.lit("order"), "doc_id"), "doc_id", F.xxhash64("text"))
-    ready: list[tuple[np.ndarray, np.ndarray, int | None]] = []
-    seen: set[int] = set()
-    index = (Index(), Index())
-    for r in rows.toLocalIterator():
-        if r["doc_id"] not in seen:
-            seen.add(r["doc_id"])
-            ready.append((index[0].rows(text_features(r["text"])), index[1].rows(meta_features(r["lang"], r["source"], r["n_chars"])), r["good"]))
-    return cotrain([x for x in ready if x[2] is not None], [x[:2] for x in ready if x[2] is None], index, rounds)
+    chosen = materialise(ids.join(known, "doc_id").orderBy(place, "doc_id").limit(labelled).select("doc_id", "good"))
+    own = docs.select("doc_id", *_columns(docs))
+    sample = own.join(F.broadcast(chosen), "doc_id").withColumn("place", F.xxhash64(F.lit("order"), "doc_id")).withColumn("key", F.xxhash64("text"))
+    sample = sample.groupBy("doc_id", "place", "good").agg(F.min_by(F.struct("text", *[c for c, _ in META]), F.struct("key", *[c for c, _ in META])).alias("x")).select("doc_id", "place", "good", "x.*")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = sample.mapInArrow(_named_features, f"doc_id {kind}, place long, good int, t array<string>, m array<string>").toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])
+    good, index = got.column("good").to_pylist(), (Index(), Index())
+    ready: list[tuple[np.ndarray, np.ndarray, int]] = []
+    for k, (t, m) in enumerate(zip(got.column("t").to_pylist(), got.column("m").to_pylist(), strict=True)):
+        ready.append((index[0].rows(set(t)), index[1].rows(set(m)), good[k]))
+    if len(set(good)) < 2:
+        return cotrain(ready, index, lambda *_: ([None, None], 0), rounds)
+    # what may come to tell something: features of enough labelled documents
+    count = np.bincount(np.concatenate([t for t, _, _ in ready]), minlength=len(index[0]))
+    text = {f: i for f, i in index[0].items() if count[i] >= SETTINGS[0][1]}
+    numbers = spark.sparkContext.broadcast((text, dict(index[1]), {f[:-2] for f in text if f[-2:-1] == "^"}))
+    others = own.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").select(F.xxhash64("text").alias("key"), "text", *[c for c, _ in META])
+    features = materialise(others.mapInArrow(_numbered_features(numbers), "key long, t binary, m binary").distinct())
+    return cotrain(ready, index, exchange_over(features, sure), rounds)
 
 
 def _apply(model, keep_at: float | None, lang: str | None, source: str | None, chars: str | None):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quern.llm import cotrain
@@ -51,10 +52,62 @@ def test_held_out_accuracy(spark):
     assert kept.columns == df.columns and {x["doc_id"] for x in kept.collect()} == {i for i, x in out.items() if x["keep"]}
 
 
-def test_bounded_sample(spark):
-    docs, truth = corpus(300, 2)
-    m = cotrain.train(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels_of(truth, range(300)), LABELS), labelled=100, pool=10)
-    assert m.constant is None and m.exchanged <= 20
+def test_only_labels_are_sampled(spark):
+    docs, truth = corpus(900, 2)
+    df, lab = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels_of(truth, range(400)), LABELS)
+    m = cotrain.train(df, lab, labelled=300)
+    assert m.constant is None and m.exchanged > 300  # of 600 documents, by both views
+    twice = cotrain.train(df.unionByName(df.where("doc_id >= 400")), lab, labelled=300)  # copies change nothing
+    assert (twice.exchanged, twice.text.weights, twice.meta.weights, twice.combine) == (m.exchanged, m.text.weights, m.meta.weights, m.combine)
+
+
+def random_pool(seed, n=400, sizes=(30, 8)):
+    rng = np.random.default_rng(seed)
+    pool = [[np.flatnonzero(rng.random(k) < 0.3).astype(np.int32) for _ in range(n)] for k in sizes]
+    views = [cotrain.View(bias=0.1, slope=1.5, shift=-0.2, by_number=rng.normal(size=k)) for k in sizes]
+    return pool, views
+
+
+def test_exchange_against_brute_force(spark):
+    pool, views = random_pool(4)
+    df = spark.createDataFrame([(t.tobytes(), m.tobytes()) for t, m in zip(*pool, strict=True)], "t binary, m binary").repartition(3)
+    pulls, count = cotrain.exchange_over(df, 0.8)(views, 500)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    seen = 0
+    for v in (0, 1):
+        raw = [np.array([views[u].by_number[x].sum() + 0.1 for x in pool[u]]) for u in (0, 1)]
+        p = sigmoid(1.5 * raw[1 - v] - 0.2)
+        sure = np.flatnonzero((p >= 0.8) | (p <= 0.2))
+        seen += sure.size
+        x = np.zeros((sure.size, views[v].by_number.size + 1))
+        for k, i in enumerate(sure):
+            x[k, pool[v][i]] = x[k, -1] = 1
+        y = (p[sure] >= 0.8).astype(float)
+        e = sigmoid(raw[v][sure]) - y
+        for got, want in ((pulls[v].good, y @ x), (pulls[v].bad, (1 - y) @ x), (pulls[v].gradient, e @ x), (pulls[v].curvature, (x.sum(axis=1) / 4) @ x)):
+            assert np.allclose(got, want / sure.size, atol=1e-5)
+        assert pulls[v].weight == min(0.5, sure.size / 500)
+    assert count == seen > 100
+
+
+def test_the_bound_is_lowered_with_the_loss():
+    pool, views = random_pool(5)
+    rng = np.random.default_rng(6)
+    x = np.zeros((400, 31))
+    for k, f in enumerate(pool[0]):
+        x[k, f] = x[k, -1] = 1
+    truth = rng.normal(size=31)
+    y = (x @ truth > 0).astype(float)
+    w = np.append(views[0].by_number, views[0].bias)
+    loss = lambda w: np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w)).mean()
+    labelled, labels = pool[0][:60], y[:60]
+    for _ in range(5):
+        e = 1 / (1 + np.exp(-(x @ w))) - y
+        pull = cotrain.Pull(y @ x / 400, (1 - y) @ x / 400, e @ x / 400, x.sum(axis=1) / 4 @ x / 400, 1e6)  # the pseudo-labels count alone
+        new = cotrain.fit(labelled, labels, 30, 1e-9, 0, 0.0, 2000, pull, cotrain.View(bias=w[-1], by_number=w[:-1]))
+        after = np.append(new.by_number, new.bias)
+        assert loss(after) < loss(w)
+        w = after
 
 
 @pytest.mark.parametrize("labels, keep", [([], True), ([(1, 1, 0)], True), ([(1, 0, 0)], False), ([(None, 0, 0), (2, None, None)], True), ([(1, 1, 0), (1, 1, 1)], False)])
