@@ -10,6 +10,9 @@ blocks are decided, then 'short' ones, each from pass one's decided blocks (for
 
 Stop words are those of the language of the html tag if it is known, else of the language of which most are found.
 
+A '<' out of quotes within a tag, or the page's end, shows that a quote there is none: then the tag ends at the next '>' if no
+'<' comes before it, else the '<' that began it is text. Parsing takes time linear in the page's length, whatever it holds.
+
 A head ends at its end tag or before the first element that can't be in one; svg and math may close themselves; what else is
 hidden and lacks its end tag is hidden to the next block.
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,56 +42,114 @@ STOP = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está".split(),
 }
 STOPS = {k: frozenset(v) for k, v in STOP.items()}
-HIDDEN = "script|style|noscript|template|svg|math|head|iframe|object|select|textarea"
-TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+(?:[\"'][^<>]*)?>"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*>|{TAG}|<[!?][^>]*>", re.S | re.I)
-IN_HEAD = re.compile(rf"<!--.*?(?:-->|\Z)|{TAG}", re.S | re.I)
+HIDDEN = frozenset("script style noscript template svg math head iframe object select textarea".split())
 HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 BLOCK = frozenset("address article aside blockquote body br caption center col colgroup dd details dialog div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 NEXT = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK - {'option', 'title'}))})(?![a-zA-Z0-9:-])", re.I)
-CLOSE = {x: re.compile(rf"</{x}\s*>", re.I) for x in [*HIDDEN.split("|"), "title"]}
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
+CLOSE = {x: re.compile(rf"</{x}\s*>", re.I) for x in [*HIDDEN, "title"]}
+LANG = re.compile(r"\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
+LINK = re.compile(r"<(/?)a(?![a-zA-Z0-9:-])", re.I)
+HUGE = re.compile(r"&#[0-9]{10,};?")
 SPACES = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
+START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+PLAIN = re.compile(r"[^<>\"']*")
 
 
-def _hidden(markup: str, name: str, tag: str, at: int, open_: set[str]) -> int:
-    """Where the hidden element ends whose start tag ends at `at`; open_: names without any further end tag, so that each is
-    looked for to the page's end only once."""
-    if name in ("svg", "math") and tag.endswith("/>"):
-        return at
-    if name == "head":
-        return _head(markup, at, open_)
-    m = None if name in open_ else CLOSE[name].search(markup, at)
-    if m:
-        return m.end()
-    open_.add(name)
-    m = None if name == "script" else NEXT.search(markup, at)
-    return m.start() if m else len(markup)
-
-
-def _head(markup: str, at: int, open_: set[str]) -> int:
-    end = at  # of the last element seen
-    while m := IN_HEAD.search(markup, at):
-        name = (m[2] or "").lower()
-        at = m.end()
-        if m[1]:
-            if name == "head":
-                return at
-            if name == "body":
-                return m.start()
-            continue
-        if name and name not in HEAD:
-            return m.start()
-        end = at = _hidden(markup, name, m[0], at, open_) if name in CLOSE and name != "head" else at
-    return end
+@dataclass
+class Tag:
+    start: int
+    end: int
+    name: str  # lower case; empty for comments and declarations
+    closing: bool = False
+
+
+class Page:
+    """A page's tags in order. Time is linear in its length: what a search has found to lead nowhere isn't searched again."""
+
+    def __init__(self, markup: str):
+        self.markup = markup
+        self.last = markup.rfind(">")
+        self.nowhere: set[int] = set()  # quotes after which a tag doesn't end
+        self.unclosed: set[str] = set()  # elements without any further end tag
+
+    def tag(self, at: int) -> Tag | None:
+        """The first tag from `at`. A '<' that begins none is text; an unclosed comment goes on to the page's end."""
+        markup = self.markup
+        while m := START.search(markup, at):
+            if m[1]:
+                end = markup.find("-->", m.end())
+                return Tag(m.start(), end + 3 if end >= 0 else len(markup), "")
+            if m.start() > self.last:
+                at = markup.find("<!--", at)  # no other tag ends any more
+                return Tag(at, len(markup), "") if at >= 0 else None
+            end = markup.find(">", m.end()) + 1 if m[2] else self._end(m.end())
+            if end:
+                return Tag(m.start(), end, (m[4] or "").lower(), bool(m[3]))
+            at = m.end()
+        return None
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose name ends at `at`: at a '>' out of quotes with no '<' out of quotes before it; else at one
+        before any '<'; else 0."""
+        markup, begin, quotes = self.markup, at, []
+        while True:
+            at = PLAIN.match(markup, at).end()
+            c = markup[at : at + 1]
+            if c == ">":
+                return at + 1
+            if c in ("", "<") or at in self.nowhere:
+                break
+            quotes.append(at)
+            at = markup.find(c, at + 1) + 1
+            if not at:
+                break
+        self.nowhere.update(quotes)
+        stop = markup.find("<", begin)
+        return markup.find(">", begin, stop if stop >= 0 else len(markup)) + 1
+
+    def after(self, tag: Tag) -> int:
+        """Where the hidden element (or title) ends that the tag begins."""
+        markup, name = self.markup, tag.name
+        if name in ("svg", "math") and markup[tag.end - 2] == "/":
+            return tag.end
+        if name == "head":
+            return self._after_head(tag.end)
+        m = None if name in self.unclosed else CLOSE[name].search(markup, tag.end)
+        if m:
+            return m.end()
+        self.unclosed.add(name)
+        m = None if name == "script" else NEXT.search(markup, tag.end)
+        return m.start() if m else len(markup)
+
+    def _after_head(self, at: int) -> int:
+        end = at  # of the last element seen
+        while t := self.tag(at):
+            at = t.end
+            if t.closing:
+                if t.name == "head":
+                    return at
+                if t.name == "body":
+                    return t.start
+                continue
+            if t.name and t.name not in HEAD:
+                return t.start
+            end = at = self.after(t) if t.name in CLOSE and t.name != "head" else at
+        return end
 
 
 def blocks(markup: str) -> list[tuple[str, int]]:
     """(text, characters within links) of each block that has text."""
+    return parse(markup)[0]
+
+
+def parse(markup: str) -> tuple[list[tuple[str, int]], str | None]:
+    """The blocks, and the language of the html tag. A link goes on over block tags if its end tag comes before another link."""
     out: list[tuple[str, int]] = []
     text: list[str] = []
-    linked, depth, breaks = 0, 0, 0
+    linked, breaks = 0, 0
+    link, across = False, False
+    lang: str | None = None
 
     def end() -> None:
         nonlocal linked
@@ -100,37 +162,43 @@ def blocks(markup: str) -> list[tuple[str, int]]:
     def take(raw: str) -> None:
         nonlocal linked, breaks
         if raw:
-            raw = entities.unescape(raw) if "&" in raw else raw
+            if "&" in raw:
+                raw = entities.unescape(HUGE.sub("\ufffd", raw))
             text.append(raw)
             folded = len(SPACES.sub(" ", raw).strip())
             if folded:
                 breaks = 0
-            if depth:
+            if link:
                 linked += folded
 
-    at = 0
-    open_: set[str] = set()
-    while m := TOKEN.search(markup, at):
-        take(markup[at : m.start()])
-        at = m.end() if not m[1] else _hidden(markup, m[1].lower(), m[0], m.end(), open_)
-        name = (m[3] or "").lower()
-        if not name:
-            if m[1]:
-                text.append(" ")
-        elif name == "a":
-            depth = max(0, depth - 1) if m[2] else depth + 1
-        elif name == "br":
+    page, at = Page(markup), 0
+    while t := page.tag(at):
+        take(markup[at : t.start])
+        at = t.end
+        if not t.name:
+            continue
+        if t.name in HIDDEN and not t.closing:
+            at = page.after(t)
+            text.append(" ")
+        elif t.name == "a":
+            link = not t.closing
+            if link:
+                m = LINK.search(markup, at)
+                across = bool(m and m[1])
+        elif t.name == "br":
             text.append(" ")
             breaks += 1
             if breaks == 2:
                 end()
-        elif name in BLOCK:
+        elif t.name in BLOCK:
             end()
             breaks = 0
-            depth = 0
+            link = link and across
+            if t.name == "html" and lang is None and (m := LANG.search(markup, t.start, t.end)):
+                lang = m[1].lower()
     take(markup[at:])
     end()
-    return out
+    return out, lang
 
 
 def stop_density(words: list[str], lang: str | None) -> float:
@@ -178,9 +246,8 @@ def second_pass(labels: list[str]) -> list[str]:
 
 def extract(markup: str) -> tuple[str, int, int]:
     """(kept blocks joined by line feeds, blocks, kept blocks)."""
-    found = blocks(markup)
-    lang = LANG.search(markup)
-    labels = second_pass(first_pass(found, lang[1].lower() if lang else None))
+    found, lang = parse(markup)
+    labels = second_pass(first_pass(found, lang))
     kept = [t for (t, _), x in zip(found, labels, strict=True) if x == "good"]
     return "\n".join(kept), len(found), len(kept)
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from quern.llm.htmltext import blocks, extract, extract_pages, first_pass, second_pass
 
@@ -33,6 +34,32 @@ def test_missing_end_tags_take_linear_time():
         assert len(blocks(f"{tag}<p>x" * 100_000)) == 100_000
 
 
+def test_hostile_pages_take_linear_time():
+    began = time.perf_counter()
+    quotes = ["<a \"", "<a '", "<a '\"", "<a '\"<b \"'", "<a x'>", "<a \"\"'", "\"<a ''"]
+    for tag in ("<head ", "<script ", "<html ", "<!", "<?", "<!-", "</", "<a", "<html lang", "&#9", *quotes):
+        for end in ("", ">", "<", "'", "<!-- "):
+            extract(tag * 100_000 + end)
+    r = random.Random(2)
+    for _ in range(20):
+        extract("".join(r.choice(["<a ", "'", '"', "x"]) for _ in range(200_000)))
+    extract("<p>" + "&#" + "9" * 100_000 + ";")
+    assert time.perf_counter() - began < 60
+
+
+def test_links_go_on_over_block_tags():
+    assert blocks("<a href=x><div>Block link text</div></a><p>rest") == [("Block link text", 15), ("rest", 0)]
+    assert blocks("<a href=x>one<p>two</p><a href=y>three</a><p>four") == [("one", 3), ("two", 0), ("three", 5), ("four", 0)]
+    assert blocks("<a name=top><p>text</p>") == [("text", 0)]
+
+
+def test_quotes():
+    assert blocks("<p title='a > b'>one</p><p title=\"x>two</p>three") == [("one", 0), ("two", 0), ("three", 0)]
+    assert blocks("<p>1 < 2 and <b>3</b> > 2") == [("1 < 2 and 3 > 2", 0)]
+    assert blocks("<p>x <y and <b>bold</b>") == [("x <y and bold", 0)]
+    assert blocks("<p>end <a href='") == [("end <a href='", 0)]
+
+
 def test_rules():
     assert first_pass([(GOOD, 0), (GOOD, 200), ("short", 0), ("short", 1), ("x" * 100, 0), ("© 2020", 0), (GOOD[:100], 0)], "en") == ["good", "bad", "short", "bad", "bad", "bad", "near"]
 
