@@ -4,9 +4,11 @@ Words are maximal runs of bytes other than ASCII white space, compared verbatim.
 share a run of at least min(min_words, words of the item) words; an item without words affects nothing.
 
 Each shard (about 1 MB of documents) gets a word-level suffix array of the suffixes that can begin such a run (their first
-few words begin some test suffix); binary search of every test suffix gives all places with a long enough common prefix, and
-so the longest match of each document and item with its places. Test texts go to all tasks; beyond `broadcast_words` words
-of them, the documents are passed once per part of the test texts.
+few words begin some test suffix), sorted by as many words as the run must have. The test suffixes whose first words occur in
+the shard are searched for by bisection, all at once; every place found that isn't within a longer match is extended word by
+word, and so gives the longest match of each document and item with its places. Test texts are kept as one array of word
+hashes with an offset for each suffix, so they take memory in proportion to their words, however long an item is. They go to
+all tasks; beyond `broadcast_words` words of them, the documents are passed once per part of the test texts.
 
 Nulls and edge cases: a null or empty text (document or item) never matches; repeated document rows are each reported and
 each removed; items that agree in id and text are one; ties between places take the earliest in the document, then in the
@@ -15,7 +17,6 @@ item; extra columns pass through the filter untouched; empty tables give empty r
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,69 +28,101 @@ from quern.llm.common import U64, grams, pieces, ship, text_bytes, word_hashes,
 
 
 class Tests:
-    """The suffixes of the test texts as word hashes."""
+    """The suffixes of the test texts, as places in one array of word hashes, sorted by the hash of their first words."""
 
     def __init__(self, ids: list[int], texts: list[str], min_words: int):
         data, at = text_bytes(pa.array(texts, pa.large_string()))
         starts, ends, item = words(data, at)
-        h = word_hashes(data, starts, ends)
-        self.need: list[int] = []
-        self.suffixes: list[tuple[int, int, bytes]] = []  # item's index, its word, big-endian hashes
         self.ids = ids
-        sizes = np.bincount(item, minlength=len(texts)) if len(texts) else np.zeros(0, int)
-        begin = np.concatenate(([0], np.cumsum(sizes))).astype(int)
-        self.need = [min(min_words, int(s)) for s in sizes]
-        self.longest = int(sizes.max()) if len(sizes) else 0
-        self.seed = min([x for x in self.need if x] or [1])
-        self.seed = min(self.seed, 6)
-        seeds = []
-        for i, n in enumerate(self.need):
-            if not n:
-                continue
-            own = h[begin[i] : begin[i + 1]]
-            raw = own.astype(">u8").tobytes()
-            seeds.append(grams(own, self.seed)[: own.size - n + 1])
-            self.suffixes += [(i, k, raw[8 * k :]) for k in range(own.size - n + 1)]
-        self.seeds = np.unique(np.concatenate(seeds)) if seeds else np.zeros(0, U64)
+        self.h = word_hashes(data, starts, ends)
+        sizes = np.bincount(item, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        self.need = np.minimum(sizes, min_words)
+        self.seed = min(int(self.need[self.need > 0].min(initial=min_words)), 6)
+        g = grams(self.h, self.seed)
+        place = np.flatnonzero(np.arange(self.h.size) + self.need[item] <= self.begin[item + 1])  # where a whole run begins
+        seeds = g[place] if place.size else np.zeros(0, U64)
+        order = np.argsort(seeds, kind="stable")
+        self.place, self.item, self.seeds = place[order], item[place[order]], seeds[order]
         self.bits = np.zeros(1 << 16, bool)
         self.bits[(self.seeds >> U64(48)).astype(np.int64)] = True
 
-    def find(self, part: pa.RecordBatch, column: str) -> dict[tuple[int, int], tuple[int, int, int]]:
+    def find(self, part: pa.RecordBatch, column: str, most: int = 1 << 18) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(row, item's index) -> longest match in words, its place in the document and in the item."""
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         data, at = text_bytes(part.column(column))
         starts, ends, doc = words(data, at)
         h = word_hashes(data, starts, ends)
         g = grams(h, self.seed)
-        if not g.size or not self.suffixes:
-            return best
+        if not g.size or not self.place.size:
+            return {}
         where = np.flatnonzero(self.bits[(g >> U64(48)).astype(np.int64)])
         where = where[np.isin(g[where], self.seeds)]
         where = where[doc[where] == doc[where + self.seed - 1]]
         if not where.size:
-            return best
-        raw = h.astype(">u8").tobytes()
-        stop = np.searchsorted(doc, doc[where], "right")
-        array = sorted((raw[8 * a : 8 * min(b, a + self.longest)], a) for a, b in zip(where.tolist(), stop.tolist(), strict=True))
-        keys = [s for s, _ in array]
-        first_word = np.searchsorted(doc, doc[where]).tolist()
-        first_of = dict(zip(where.tolist(), first_word, strict=True))
-        for item, k, suffix in self.suffixes:
-            prefix = suffix[: 8 * self.need[item]]
-            for x in range(bisect_left(keys, prefix), bisect_right(keys, prefix + b"\xff" * 8 * (self.longest + 1))):
-                s, a = array[x]
-                if not s.startswith(prefix):
-                    continue
-                n = len(prefix)
-                while n + 8 <= min(len(s), len(suffix)) and s[n : n + 8] == suffix[n : n + 8]:
-                    n += 8
-                key = (int(doc[a]), item)
-                got = (n // 8, a - first_of[a], k)
-                old = best.get(key)
-                if old is None or (-got[0], got[1], got[2]) < (-old[0], old[1], old[2]):
-                    best[key] = got
+            return {}
+        size = np.bincount(doc, minlength=part.num_rows)
+        end = np.cumsum(size)  # of each document's words
+        wanted = _ranges(np.searchsorted(self.seeds, u := np.unique(g[where]), "left"), np.searchsorted(self.seeds, u, "right"))[1]
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for need in np.unique(self.need[self.item[wanted]]).tolist():
+            asked = wanted[self.need[self.item[wanted]] == need]
+            own = where[where + need <= end[doc[where]]]
+            if not own.size:
+                continue
+            runs = np.concatenate([h[own[:, None] + np.arange(need)], self.h[self.place[asked][:, None] + np.arange(need)]])
+            order = np.lexsort(runs.T[::-1])
+            new = np.ones(order.size, np.int64)
+            new[1:] = (runs[order[1:]] != runs[order[:-1]]).any(axis=1)
+            rank = np.empty(order.size, np.int64)
+            rank[order] = np.cumsum(new)
+            array = own[np.argsort(rank[: own.size], kind="stable")]  # the shard's suffix array
+            sorted_ranks = np.sort(rank[: own.size])
+            low, high = (np.searchsorted(sorted_ranks, rank[own.size :], side) for side in ("left", "right"))
+            for a, b in _steps(high - low, most):
+                k, x = _ranges(low[a:b], high[a:b])
+                suffix = asked[a:b][k]
+                self._extend(h, doc, end, array[x], self.place[suffix], self.item[suffix], need, best)
         return best
 
+    def _extend(self, h: np.ndarray, doc: np.ndarray, end: np.ndarray, p: np.ndarray, q: np.ndarray, item: np.ndarray, need: int, best: dict) -> None:
+        """Takes in the matches of `need` words at p of the shard and q of the test texts."""
+        d = doc[p]
+        first = end[d] - np.bincount(doc, minlength=end.size)[d]
+        inner = (p > first) & (q > self.begin[item]) & (h[p - 1] == self.h[q - 1])  # within a longer match of the same two
+        p, q, item, d, first = (x[~inner] for x in (p, q, item, d, first))
+        n = np.full(p.size, need)
+        room = np.minimum(end[d] - p, self.begin[item + 1] - q)
+        open_, step = np.flatnonzero(n < room), 16
+        while open_.size:
+            ahead = n[open_][:, None] + np.arange(step)
+            there = ahead < room[open_][:, None]
+            ahead = np.where(there, ahead, 0)
+            same = there & (h[p[open_][:, None] + ahead] == self.h[q[open_][:, None] + ahead])
+            more = np.where(same.all(axis=1), step, same.argmin(axis=1))
+            n[open_] += more
+            open_ = open_[more == step]
+            step = min(2 * step, max(16, (1 << 20) // max(open_.size, 1)))
+        for r, i, got in zip(d.tolist(), item.tolist(), zip((-n).tolist(), (p - first).tolist(), (q - self.begin[item]).tolist(), strict=True), strict=True):
+            old = best.get((r, i))
+            if old is None or got < (-old[0], old[1], old[2]):
+                best[r, i] = (-got[0], got[1], got[2])
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the range, number) for all numbers of the ranges [low, high)."""
+    size = high - low
+    which = np.repeat(np.arange(size.size), size)
+    return which, np.arange(which.size) + np.repeat(low - (np.cumsum(size) - size), size)
+
+
+def _steps(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Parts of the sizes that sum up to about `most`."""
+    total, a = np.cumsum(sizes), 0
+    while a < sizes.size:
+        b = max(int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")), a + 1)
+        yield a, b
+        a = b
+
 
 def _tests(benchmark: DataFrame, min_words: int, id_col: str, text_col: str, broadcast_words: int) -> list[Tests]:
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").distinct()

@@ -60,3 +60,23 @@ def test_edges(spark):
     assert sorted(x["doc_id"] for x in decontaminate(docs_of(spark, docs), items_of(spark, items)).collect()) == [1, 2, 4, 6]
     assert matches(docs_of(spark, []), items_of(spark, items)).count() == 0
     assert decontaminate(docs_of(spark, docs), items_of(spark, [])).count() == len(docs)
+
+
+def test_long_items(spark):
+    """A passage of many words of a long item; memory follows the words, not their square."""
+    r = random.Random(8)
+    item = [f"t{r.randrange(5000)}" for _ in range(200_000)]
+    rows = [(1, " ".join(["a", *item[1000:60_000], "b"])), (2, " ".join(item)), (3, " ".join(item[5:17])), (4, " ".join(["b", *item[150_000:150_013]]))]
+    got = {tuple(x) for x in matches(docs_of(spark, rows), items_of(spark, [(1, " ".join(item)), (2, " ".join(item[:40]))])).collect()}
+    assert got == {(1, 1, 59_000, 1, 1000), (2, 1, 200_000, 0, 0), (2, 2, 40, 0, 0), (4, 1, 13, 1, 150_000)}
+
+
+def test_repeated_words_in_steps():
+    import pyarrow as pa
+
+    from quern.llm.decontam import Tests
+
+    tests = Tests([1, 2], ["la " * 40, "x " + "la " * 14], 13)
+    part = pa.RecordBatch.from_pydict({"text": ["la " * 30 + "end", "y " + "la " * 14, "la " * 12]})
+    want = {(0, 0): (30, 0, 0), (0, 1): (14, 0, 1), (1, 0): (14, 1, 0), (1, 1): (14, 1, 1)}
+    assert tests.find(part, "text") == tests.find(part, "text", most=7) == want
