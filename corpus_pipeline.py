@@ -7,31 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import bpe, cotrain, decontam, simhash, substring
-from quern.llm.common import materialise
+from quern.llm.common import discard, materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier doesn't reject."""
+    """Documents that the co-trained classifier doesn't reject. A null or empty text is scored by its metadata and shape;
+    repeated rows share a verdict; without labels of both classes all go the way of the one class, or stay."""
     return cotrain.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group: that of the smallest doc_id, null last. Texts without words all stay; of rows
+    that agree in doc_id and text one does."""
     return simhash.simhash_dedup(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages stay in their first place only."""
+    """Repeated passages stay in their first place only; all documents stay, if with an empty text. Null texts stay null; rows
+    that agree in doc_id and text keep the same text."""
     return substring.substring_dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; null and empty texts hold none. Items that are null or have no words count for
+    nothing."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their tokens."""
+    """All documents with their tokens: null for a null text, none for an empty one."""
     return bpe.encode(docs)
 
 
@@ -50,7 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialise(docs)
+            discard(last)
     return docs

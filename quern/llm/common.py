@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -17,19 +19,37 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 _shipped: set[str] = set()
+_written: dict[int, tuple[weakref.ref, str]] = {}
 
 
 # --- session helpers -------------------------------------------------------------------------------------------------
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which every executor sees; a local one is made only where it is unset."""
+    """A fresh folder under spark.checkpoint.dir, which every executor sees; where that is unset, a local one in local mode and
+    an error on a cluster. clean_up() removes all that an application wrote."""
+    return f"{_home(spark)}/{uuid.uuid4().hex}"
+
+
+def _home(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = Path(tempfile.mkdtemp(prefix="quern-shared-")).as_uri()
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quern-{sc.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes what this application wrote to the shared folder; DataFrames that read it can no longer be used."""
+    _delete(spark, _home(spark))
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -37,7 +57,16 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what materialise() wrote for df, which nothing reads any more; does nothing to other DataFrames."""
+    ref, path = _written.pop(id(df), (None, ""))
+    if ref is not None and ref() is df:
+        _delete(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:
@@ -287,7 +316,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
         small = small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).distinct()
-        now = materialise(small)
+        last, now = now, materialise(small)
+        discard(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == tuple(state):
             break
