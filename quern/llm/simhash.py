@@ -234,21 +234,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, BITS // 64)
 
 
-def _to_leaves(tree, radius: int):
+def _to_leaves(tree, radius: int, parts: int):
+    """A leaf has `parts` tasks, numbered leaf * parts + k: each gets all of its own fingerprints and a part of its visitors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at, leaf, own = tree.value.visits(_matrix(batch.column("fp")), radius)
+            fp = _matrix(batch.column("fp"))
+            at, leaf, own = tree.value.visits(fp, radius)
+            part = (mix(fp[at, 0]) % U64(parts)).astype(np.int64)
+            copies = np.where(own, parts, 1)
+            place = np.repeat(np.arange(at.size), copies)
+            number = np.where(own[place], np.arange(place.size) - np.repeat(np.cumsum(copies) - copies, copies), part[place])
+            at, own, task = at[place], own[place], leaf[place] * parts + number
             for a in range(0, at.size, 20_000):
                 s = slice(a, a + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[s]), pa.array(own[s]), batch.column("fp").take(pa.array(at[s]))], ["leaf", "own", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(task[s]), pa.array(own[s]), batch.column("fp").take(pa.array(at[s]))], ["leaf", "own", "fp"])
 
     return run
 
 
-def _in_leaf(radius: int):
-    """Of each leaf its own rows come first and are held; its visitors pass by."""
+def _in_leaf(radius: int, parts: int):
+    """In each task of a leaf its own rows come first and are held; its visitors pass by. The first task compares its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, held, index, own = None, [], None, None
@@ -261,7 +269,7 @@ def _in_leaf(radius: int):
             own = np.concatenate(held or [np.zeros((0, BITS // 64), U64)])
             held.clear()
             index = Index(own, radius)
-            return edges(own, index.search())
+            return edges(own, index.search() if leaf % parts == 0 else [])
 
         for batch in batches:
             if not batch.num_rows:
@@ -286,9 +294,10 @@ def _in_leaf(radius: int):
     return run
 
 
-def groups(docs: DataFrame, radius: int = 40, leaf: int = 32_768, leaves: int = 32, sample: int = 50_000, min_features: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, radius: int = 40, leaf: int = 32_768, leaves: int = 32, most: int = 4 << 20, parts: int = 8, sample: int = 50_000, min_features: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, key, fp, root) for each document with words: root is its group's smallest fingerprint. A leaf has about `leaf`
-    fingerprints, or more where that would make more than about `leaves` of them."""
+    fingerprints, or more where that would make more than about `leaves` of them, but about `most` at most, which bounds a
+    task's memory. `parts` tasks share a leaf's visitors."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), F.lower(text_col).alias("text"))
@@ -298,10 +307,10 @@ def groups(docs: DataFrame, radius: int = 40, leaf: int = 32_768, leaves: int =
     share = min(1.0, sample / max(n, 1))
     chosen = sorted(distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).toArrow().column("fp").to_pylist())  # in order, so that a run repeats
     seen = np.frombuffer(b"".join(chosen), "<u8").reshape(-1, BITS // 64)
-    tree = Tree(seen, n / max(len(chosen), 1), max(leaf, n // leaves), 0, radius)
+    tree = Tree(seen, n / max(len(chosen), 1), max(leaf, min(n // leaves, most)), 0, radius)
     sent = spark.sparkContext.broadcast(tree)
-    shards = distinct.mapInArrow(_to_leaves(sent, radius), "leaf long, own boolean, fp binary").repartition(4 * tree.leaves, "leaf").sortWithinPartitions("leaf", F.desc("own"))
-    edges = shards.mapInArrow(_in_leaf(radius), "a binary, b binary")
+    shards = distinct.mapInArrow(_to_leaves(sent, radius, parts), "leaf long, own boolean, fp binary").repartition(4 * parts * tree.leaves, "leaf").sortWithinPartitions("leaf", F.desc("own"))
+    edges = shards.mapInArrow(_in_leaf(radius, parts), "a binary, b binary")
     roots = components(edges)
     return found.join(roots, found["fp"] == roots["node"], "left").select("doc", "key", "fp", F.coalesce("root", "fp").alias("root"))
 

@@ -70,7 +70,8 @@ def test_recall_against_brute_force(spark):
     assert len(pairs & want) >= 0.95 * len(want) and not pairs - want
 
 
-def test_every_pair_near_the_radius_is_found(spark):
+@pytest.mark.parametrize("parts", [1, 3])
+def test_every_pair_near_the_radius_is_found(spark, parts):
     """Groups of two at all distances up to the radius, which no third document connects."""
     r = random.Random(3)
     vocab = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20_000)]
@@ -78,7 +79,7 @@ def test_every_pair_near_the_radius_is_found(spark):
     for i in range(400):
         body = [r.choice(vocab) for _ in range(150)]
         rows += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(r.choice(vocab) if r.random() < 0.02 + 0.1 * i / 400 else w for w in body))]
-    got = {x["doc"]: x for x in groups(frame(spark, rows), leaf=64).collect()}
+    got = {x["doc"]: x for x in groups(frame(spark, rows), leaf=64, parts=parts).collect()}
     fp = np.stack([np.frombuffer(bytes(got[i]["fp"]), np.uint64) for i in range(800)])
     far = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
     near = {(i, j) for i, j in zip(*np.nonzero(far <= 40), strict=True) if i < j}
