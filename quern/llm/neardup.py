@@ -1,12 +1,14 @@
 """Embedding near-dedup: random-hyperplane hashing in several tables, exact cosine verification, connected components.
 
 In each of `tables` tables a vector's bucket is the signs of its products with `bits` random hyperplanes. All vectors of a
-bucket are compared exactly; those with a cosine of at least `threshold` are near. With the defaults a pair at cosine 0.9
-shares a bucket of some table with probability 0.94, at 0.95 with 0.99. A bucket reports a spanning forest of its near pairs;
-distributed connected components over all of them give the groups. Vectors that are equal bit by bit are compared once.
-A bucket beyond `block` distinct vectors is parted into blocks, every pair of which is a task of its own, so that a hot bucket
-neither fills a task's memory nor drops a pair. Raise `bits` with the table size (its share of pairs compared is tables / 2 ** bits),
-and `tables` with `bits`, else recall falls: at cosine 0.9, 12 tables of 14 bits find 0.77 of pairs; 24 of 14 bits 0.95.
+bucket are compared exactly; those with a cosine of at least `threshold` are near. A bucket reports a spanning forest of its
+near pairs; distributed connected components over all of them give the groups. Vectors that are equal bit by bit are compared
+once. A bucket beyond `block` distinct vectors is parted into blocks, every pair of which is a task of its own, so that a hot
+bucket neither fills a task's memory nor drops a pair.
+
+Unless given, `bits` grows with the logarithm of the table, so that buckets of unlike vectors keep their size (1,000 to 2,000
+vectors, or fewer in small tables), and `tables` is as many as the share `recall` of pairs at the threshold needs: at cosine
+0.9, 12 tables of 10 bits up to two million vectors, 20 of 13 bits at 16 million, 53 of 19 bits at a billion.
 
 Nulls and edge cases: null, empty and zero vectors and those with null, NaN or infinite parts are in no group; vectors of
 different widths are never near; a null id orders last and is no neighbour's id; rows that agree in id and vector are one;
@@ -15,10 +17,12 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,18 +38,34 @@ def _unit(vectors: list[bytes]) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def plan(n: int, threshold: float, recall: float = 0.94) -> tuple[int, int]:
+    """(tables, bits) for n vectors."""
+    if not 0 < threshold:
+        raise ValueError("the threshold must be above 0")
+    bits = max(10, math.ceil(math.log2(max(n, 1))) - 11)
+    share = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits  # of pairs at the threshold, in one table
+    return (1 if share >= recall else math.ceil(math.log1p(-recall) / math.log1p(-share))), bits
+
+
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, out = [], []
-        for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            if v and None not in v:
-                x = np.array(v, "<f8")
-                with np.errstate(over="ignore"):
-                    n = np.linalg.norm(x)
-                if np.isfinite(x).all() and np.isfinite(n) and n > 0:
-                    ids.append(i)
-                    out.append((x + 0.0).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "vec"])
+        ids, lists = batch.column("id"), batch.column("v")
+        values = lists.flatten()
+        bad = pc.fill_null(pc.invert(pc.is_finite(values)), True).to_numpy(zero_copy_only=False)
+        number = pc.fill_null(values, 0.0).to_numpy(zero_copy_only=False) + 0.0  # no negative zero
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        end = np.cumsum(size)
+        for width in np.unique(size[size > 0]).tolist():
+            rows = np.flatnonzero(size == width)
+            place = end[rows][:, None] - width + np.arange(width)
+            x = number[place]
+            with np.errstate(over="ignore", invalid="ignore"):
+                norm = np.linalg.norm(x, axis=1)
+            good = ~bad[place].any(axis=1) & np.isfinite(norm) & (norm > 0)
+            raw = np.ascontiguousarray(x[good], "<f8").tobytes()
+            offsets = np.arange(int(good.sum()) + 1, dtype=np.int64) * width * 8
+            vec = pa.Array.from_buffers(pa.large_binary(), offsets.size - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[good])), vec.cast(pa.binary())], ["id", "vec"])
 
 
 def _buckets(tables: int, bits: int, seed: int):
@@ -99,13 +119,18 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, tables: int = 12, bits: int = 10, seed: int = 7, block: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, tables: int | None = None, bits: int | None = None, recall: float = 0.94, seed: int = 7, block: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, kept_vec_id): each vector that goes, beside the smallest id of its group, which stays."""
     spark = embeddings.sparkSession
     ship(spark)
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     vectors = materialise(rows.mapInArrow(_clean, "id long, vec binary").distinct())
-    codes = vectors.select("vec").distinct().mapInArrow(_buckets(tables, bits, seed), "tab long, code long, vec binary")
+    each = vectors.select("vec").distinct()
+    if tables is None or bits is None:
+        more, wide = plan(each.count(), threshold, recall)
+        bits = wide if bits is None else bits
+        tables = more if tables is None else tables
+    codes = each.mapInArrow(_buckets(tables, bits, seed), "tab long, code long, vec binary")
     sizes = materialise(codes.groupBy("tab", "code").count().where("count > 1").select("tab", "code", F.ceil(F.col("count") / block).cast("int").alias("parts")))
     placed = codes.join(sizes, ["tab", "code"]).withColumn("at", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int"))
     # block pairs p <= q: a row of block i is on the left of (i, q) and on the right of (p, i)

@@ -1,7 +1,7 @@
 import numpy as np
 
 from quern.llm.common import components
-from quern.llm.neardup import near_duplicates
+from quern.llm.neardup import near_duplicates, plan
 
 SCHEMA = "vec_id long, embedding array<float>, code int"
 
@@ -63,3 +63,11 @@ def test_recall_of_production_tables_near_the_threshold(spark):
     near = {(int(b), int(a)) for a, b in np.argwhere(np.triu(x @ x.T >= 0.9, 1))}
     got = {(r["vec_id"], r["kept_vec_id"]) for r in near_duplicates(frame(spark, rows)).collect()}
     assert len(near) == 500 and got <= near and len(got) >= 0.9 * len(near)
+
+
+def test_plan_keeps_recall_and_bucket_size():
+    for n in (0, 10, 1 << 21, (1 << 21) + 1, 16_000_000, 10**9, 10**11):
+        tables, bits = plan(n, 0.9)
+        share = (1 - np.arccos(0.9) / np.pi) ** bits
+        assert 0.94 <= 1 - (1 - share) ** tables < 0.952 and n / 2**bits <= 2048
+    assert plan(1 << 21, 0.9) == (12, 10) and plan(5, 1.0) == (1, 10)
