@@ -7,8 +7,8 @@ every document without label that it is sure of; the other view is fitted again
 calibrated views are combined by a logistic regression on the held-out labels, and every document is scored.
 
 Only labelled rows are sampled: the `labelled` documents with the smallest hashes, which also give the vocabulary. All others
-take part in the exchange: their features are found once and written to the shared folder (copies with the same metadata
-once), and in a round each task adds up, by feature, the pseudo-labels and the gradient of the other view's loss and a bound of
+take part in the exchange: their features (of those that tell something by half of the standard errors asked for) are found
+once and written to the shared folder (copies with the same metadata once), and in a round each task adds up, by feature, the pseudo-labels and the gradient of the other view's loss and a bound of
 its curvature. These sums (one row a feature, whole numbers, so that their order doesn't matter) bound the loss over all
 pseudo-labels from above, and the driver lowers that bound together with the loss over the labels. Pseudo-labels together
 weigh half of the labels, or less where each would weigh more than a label; so the fit is alike at every size.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise, pieces, ship, text_bytes
+from quern.llm.common import discard, materialise, pieces, ship, text_bytes
 
 WORD = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"[!-/:-@\[-`{-~]{2,}")
@@ -118,6 +118,12 @@ class Pull:
     weight: float
 
 
+def _apart(good: np.ndarray, bad: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """By how many standard errors the shares of good of n1 and bad of n0 differ."""
+    share = (good + bad) / (n1 + n0)
+    return np.abs(good / n1 - bad / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, size: int, l2: float, least: int, z: float, steps: int = 400, pull: Pull | None = None, start: View | None = None) -> View:
     """Full-batch AdaGrad on features that at least `least` rows have and whose shares among good and bad rows differ by z
     standard errors or more."""
@@ -134,9 +140,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, size: int, l2: float, least: int,
         count = count + as_rows * (pull.good + pull.bad)[:-1]
         n1, n0 = n1 + as_rows * pull.good[-1], n0 + as_rows * pull.bad[-1]
         w0, b = start.by_number, start.bias
-    share = count / (n1 + n0)
-    error = np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-    tells = (count >= least) & (np.abs(good / n1 - (count - good) / n0) >= z * error)
+    tells = (count >= least) & (_apart(good, count - good, n1, n0) >= z)
     number = np.cumsum(tells) - 1
     use = tells[every]
     row, col, k = row[use], number[every[use]], int(tells.sum())
@@ -235,13 +239,18 @@ def cotrain(labelled: list[tuple[np.ndarray, np.ndarray, int]], index: tuple[Ind
     return model
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers in a column of 4-byte numbers and the row of each."""
+def _kind(n: int) -> str:
+    """The type of numbers below n."""
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of packed numbers and the row of each."""
     data, at = text_bytes(column)
-    return np.frombuffer(data.tobytes(), "<i4"), np.repeat(np.arange(len(column)), np.diff(at) // 4)
+    return np.frombuffer(data.tobytes(), kind).astype(np.int64), np.repeat(np.arange(len(column)), np.diff(at) // np.dtype(kind).itemsize)
 
 
-def _sums(views, sure: float):
+def _sums(views, sure: float, kinds: list[str]):
     """(view, feature, good, bad, gradient, curvature): of the documents that the other view is sure of, how many with the
     feature it takes for good and for bad, and the sums over them of the view's error and of their number of features."""
 
@@ -250,7 +259,7 @@ def _sums(views, sure: float):
         total = [np.zeros((4, v.by_number.size + 1), np.int64) for v in own]
         for batch in batches:
             n = batch.num_rows
-            flat = [_flat(batch.column(c)) for c in ("t", "m")]
+            flat = [_flat(batch.column(c), kind) for c, kind in zip(("t", "m"), kinds, strict=True)]
             z = [v.bias + np.bincount(row, v.by_number[f], n) for v, (f, row) in zip(own, flat, strict=True)]
             for v in (0, 1):
                 other, (f, row) = own[1 - v], flat[v]
@@ -272,12 +281,12 @@ SUMS = ["v", "f", "good", "bad", "gradient", "curvature"]
 
 
 def exchange_over(features: DataFrame, sure: float = 0.97) -> Callable[[list[View], int], tuple[list[Pull | None], int]]:
-    """The exchange over all rows of features (t binary, m binary: numbers of features)."""
+    """The exchange over all rows of features (t binary, m binary: packed numbers of features)."""
     spark = features.sparkSession
 
     def exchange(views: list[View], labels: int) -> tuple[list[Pull | None], int]:
         sent = spark.sparkContext.broadcast(views)
-        rows = features.mapInArrow(_sums(sent, sure), ", ".join(f"{c} long" for c in SUMS))
+        rows = features.mapInArrow(_sums(sent, sure, [_kind(v.by_number.size) for v in views]), ", ".join(f"{c} long" for c in SUMS))
         got = rows.groupBy("v", "f").agg(*[F.sum(c).alias(c) for c in SUMS[2:]]).toArrow()
         v, f = got.column("v").to_numpy(), got.column("f").to_numpy()
         pulls: list[Pull | None] = []
@@ -313,10 +322,11 @@ def _named_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _numbered_features(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, meta, starts = known.value
-        pack = lambda found, numbers: np.array(sorted(numbers[x] for x in found if x in numbers), "<i4").tobytes()
+        kinds = _kind(len(text)), _kind(len(meta))
+        pack = lambda found, numbers, kind: np.array(sorted(numbers[x] for x in found if x in numbers), kind).tobytes()
         for part in pieces(batches, "text", 2 << 20):
-            t = [pack(text_features(x, starts), text) for x in part.column("text").to_pylist()]
-            m = [pack(meta_features(*x), meta) for x in zip(*(part.column(c).to_pylist() for c, _ in META), strict=True)]
+            t = [pack(text_features(x, starts), text, kinds[0]) for x in part.column("text").to_pylist()]
+            m = [pack(meta_features(*x), meta, kinds[1]) for x in zip(*(part.column(c).to_pylist() for c, _ in META), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(t, pa.binary()), pa.array(m, pa.binary())], ["key", "t", "m"])
 
     return run
@@ -342,13 +352,22 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 6000, rounds: int
         ready.append((index[0].rows(set(t)), index[1].rows(set(m)), good[k]))
     if len(set(good)) < 2:
         return cotrain(ready, index, lambda *_: ([None, None], 0), rounds)
-    # what may come to tell something: features of enough labelled documents
-    count = np.bincount(np.concatenate([t for t, _, _ in ready]), minlength=len(index[0]))
-    text = {f: i for f, i in index[0].items() if count[i] >= SETTINGS[0][1]}
-    numbers = spark.sparkContext.broadcast((text, dict(index[1]), {f[:-2] for f in text if f[-2:-1] == "^"}))
+    # what may come to tell something: half of the standard errors that a view asks for
+    y = np.array(good, float)
+    row = np.repeat(np.arange(y.size), [t.size for t, _, _ in ready])
+    every = np.concatenate([t for t, _, _ in ready])
+    count, among_good = np.bincount(every, minlength=len(index[0])), np.bincount(every, y[row], len(index[0]))
+    _, least, z = SETTINGS[0]
+    tells = (count >= least) & (_apart(among_good, count - among_good, y.sum(), y.size - y.sum()) >= z / 2)
+    number = np.where(tells, np.cumsum(tells) - 1, -1)
+    text = Index({f: int(number[i]) for f, i in index[0].items() if tells[i]})
+    ready = [(number[t][tells[t]], m, g) for t, m, g in ready]
+    numbers = spark.sparkContext.broadcast((dict(text), dict(index[1]), {f[:-2] for f in text if f[-2:-1] == "^"}))
     others = own.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").select(F.xxhash64("text").alias("key"), "text", *[c for c, _ in META])
     features = materialise(others.mapInArrow(_numbered_features(numbers), "key long, t binary, m binary").distinct())
-    return cotrain(ready, index, exchange_over(features, sure), rounds)
+    model = cotrain(ready, (text, index[1]), exchange_over(features, sure), rounds)
+    discard(features)
+    return model
 
 
 def _apply(model, keep_at: float | None, lang: str | None, source: str | None, chars: str | None):

@@ -70,7 +70,7 @@ def random_pool(seed, n=400, sizes=(30, 8)):
 
 def test_exchange_against_brute_force(spark):
     pool, views = random_pool(4)
-    df = spark.createDataFrame([(t.tobytes(), m.tobytes()) for t, m in zip(*pool, strict=True)], "t binary, m binary").repartition(3)
+    df = spark.createDataFrame([(t.astype("<u2").tobytes(), m.astype("<u2").tobytes()) for t, m in zip(*pool, strict=True)], "t binary, m binary").repartition(3)
     pulls, count = cotrain.exchange_over(df, 0.8)(views, 500)
     sigmoid = lambda x: 1 / (1 + np.exp(-x))
     seen = 0
