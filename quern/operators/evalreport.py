@@ -130,19 +130,22 @@ class Rule:
     average: bool = False
 
 
+def _rule(text: str) -> Rule:
+    """key=dataset/metric; no key: the data set's name; '^' after the data set: a prefix; no metric: any; '~' at the end: the mean."""
+    key, _, rest = text.rpartition("=")
+    name, _, metric = rest.rstrip("~").partition("/")
+    prefix = name.endswith("^")
+    name = name.rstrip("^")
+    return Rule(key or name, name, metric or None, prefix, text.endswith("~"))
+
+
+#: In the order of the summary's columns.
 RULES = tuple(
-    Rule(k, d, m, p, a)
-    for k, d, m, p, a in (
-        ("drop", "drop", "accuracy", 0, 0),
-        ("IFEval", "IFEval", None, 0, 1),
-        *((x, x, "naive_average", 0, 0) for x in ["agieval"]),
-        *((x, x, "accuracy", 1, 1) for x in ["mmlu_pro", "korbench"]),
-        *((x, x, "accuracy", 0, 0) for x in ["gsm8k", "math", "math_prm800k_500", "OlympiadBench_OE_TO_maths_en_COMP", "ARC-c", "GPQA_diamond"]),
-        *((x, x, None, 0, 0) for x in ["OmniMath", "openai_humaneval", "lcb_code_generation", "humaneval_plus"]),
-        ("aime2024_accuracy", "aime2024", "accuracy", 1, 1),
-        ("sanitized_mbpp_score", "sanitized_mbpp", "score", 0, 0),
-        ("bbh_naive_average", "bbh", "naive_average", 0, 0),
-        ("calm_Accuracy", "calm", "Accuracy", 1, 1),
+    map(
+        _rule,
+        "drop/accuracy IFEval~ agieval/naive_average mmlu_pro^/accuracy~ gsm8k/accuracy math/accuracy math_prm800k_500/accuracy OmniMath OlympiadBench_OE_TO_maths_en_COMP/accuracy "
+        "aime2024_accuracy=aime2024^/accuracy~ openai_humaneval sanitized_mbpp_score=sanitized_mbpp/score lcb_code_generation humaneval_plus "
+        "ARC-c/accuracy bbh_naive_average=bbh/naive_average GPQA_diamond/accuracy calm_Accuracy=calm^/Accuracy~ korbench^/accuracy~".split(),
     )
 )
 
@@ -160,7 +163,7 @@ def summarise(rows: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         some, n = F.count_if(hit), F.count_if(hit & number.isNotNull())
         got = F.avg(F.when(hit, number)) if r.average else F.min(F.when(hit & number.isNotNull(), F.struct("pos", number.alias("x"))))["x"]
         bad = F.lit("error") if r.average else F.when(F.count_if(hit & F.col("value").isNotNull()) > 0, "error").otherwise("N/A")
-        out.append(F.when(some == 0, "N/A").when(n == 0, bad).otherwise(F.round(got, 6).cast("string")).alias(r.key))
+        out.append(F.when(some == 0, "N/A").when(n == 0, bad).otherwise(got.cast("string")).alias(r.key))
     return rows.groupBy("file").agg(*out)
 
 

@@ -12,6 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Client = Callable[[str, float, float], str]
 ASPECTS = ("Clarity", "Coherence", "Completeness", "Complexity", "Correctness", "Meaningfulness")
@@ -108,6 +109,24 @@ def ask(requests: DataFrame, client: Client, retries: int = 3, temperature: floa
     return requests.mapInPandas(run, f"id {kind}, metric string, raw string, attempts int")
 
 
+def grade(requests: DataFrame, model: Callable[[list[str]], list[str]], batch: int = 16) -> DataFrame:
+    """requests with raw: what the model answers to the column prompt, batch by batch; a batch that fails gets empty answers."""
+
+    def answers(part: list[str]) -> list[str]:
+        try:
+            got = list(model(part))
+        except Exception:  # noqa: BLE001 - a failing batch is graded as unknown
+            return [""] * len(part)
+        return got if len(got) == len(part) else [""] * len(part)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts = f["prompt"].fillna("").tolist()
+            yield f.assign(raw=[x for a in range(0, len(texts), batch) for x in answers(texts[a : a + batch])])
+
+    return requests.drop("raw").mapInPandas(run, T.StructType([*requests.drop("raw").schema.fields, T.StructField("raw", T.StringType())]))
+
+
 def pending(items: DataFrame, done: DataFrame) -> DataFrame:
     """Items whose id isn't tracked as done."""
     return items.join(done.select("id").distinct(), "id", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quern.operators.evalreport import Rule
+
 ORACLES: dict[str, str] = {}
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')"
@@ -224,15 +226,38 @@ _cols = lambda x: ", ".join(f"CAST(max(CASE WHEN file = 'src{k}' THEN {x} END) A
 ORACLES["e06_transposed"] = f"WITH a AS (SELECT file, {_acc} FROM ({GRADED}) GROUP BY file) " + " UNION ALL ".join(f"SELECT '{n}' AS metric, {_cols(x)} FROM a" for n, x in (("total", "total"), ("A_count", "a_count"), ("accuracy", "accuracy")))
 _sets = [("AI2D_TEST", 8), ("MMMU_DEV_VAL", 14), ("CV-Bench-2D", 0), ("OCRBench", 17), ("x_y_ChartQA_TEST", 16), ("unknown", 20)]
 ORACLES["e07_test_set_names"] = "SELECT doc_id, CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{n}'" for k, (n, _) in enumerate(_sets)) + " END AS test_set, CAST(CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN {r}" for k, (_, r) in enumerate(_sets)) + " END AS INTEGER) AS rank FROM documents"
-ORACLES["e08_summary"] = """
-WITH r AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS file, event_id AS pos, event_type AS dataset, CASE WHEN event_id % 2 = 0 THEN 'accuracy' ELSE 'score' END AS metric,
-  CASE WHEN event_id % 7 = 0 THEN 'bad' WHEN event_id % 11 = 0 THEN NULL ELSE CAST(CAST(value AS DECIMAL(18, 3)) AS VARCHAR) END AS value FROM events),
-x AS (SELECT *, TRY_CAST(value AS DOUBLE) AS num, dataset = 'click' AND metric = 'accuracy' AS f, starts_with(dataset, 'c') AS a FROM r)
-SELECT file, CASE WHEN count(*) FILTER (WHERE f) = 0 THEN 'N/A' WHEN count(num) FILTER (WHERE f) = 0 THEN CASE WHEN count(value) FILTER (WHERE f) > 0 THEN 'error' ELSE 'N/A' END
-    ELSE format('{:.3f}', first(num ORDER BY pos) FILTER (WHERE f AND num IS NOT NULL)) END AS click_first,
-  CASE WHEN count(*) FILTER (WHERE a) = 0 THEN 'N/A' WHEN count(num) FILTER (WHERE a) = 0 THEN 'error' ELSE format('{:.3f}', round(avg(num) FILTER (WHERE a), 6)) END AS c_average, 'N/A' AS none
-FROM x GROUP BY file
-"""
+
+
+def _summary(rows: str, rules) -> str:
+    """rows: SQL for (file, pos, dataset, metric, value)."""
+    out = []
+    for r in rules:
+        hit = (f"starts_with(dataset, '{r.dataset}')" if r.prefix else f"dataset = '{r.dataset}'") + (f" AND metric = '{r.metric}'" if r.metric else "")
+        got = f"avg(num) FILTER (WHERE {hit})" if r.average else f"first(num ORDER BY pos) FILTER (WHERE {hit} AND num IS NOT NULL)"
+        bad = "'error'" if r.average else f"CASE WHEN count(value) FILTER (WHERE {hit}) > 0 THEN 'error' ELSE 'N/A' END"
+        out.append(f"""round({got}, 9) + 0.0 AS "{r.key}", CASE WHEN count(*) FILTER (WHERE {hit}) = 0 THEN 'N/A' WHEN count(num) FILTER (WHERE {hit}) = 0 THEN {bad} END AS "{r.key}_status" """)
+    return f"WITH r AS ({rows}), x AS (SELECT *, TRY_CAST(value AS DOUBLE) AS num FROM r) SELECT file, {', '.join(out)} FROM x GROUP BY file"
+
+
+ORACLES["e08_summary"] = _summary(
+    """SELECT 'u' || CAST(user_id AS VARCHAR) AS file, event_id AS pos, event_type AS dataset, CASE WHEN event_id % 2 = 0 THEN 'accuracy' ELSE 'score' END AS metric,
+  CASE WHEN event_id % 7 = 0 THEN 'bad' WHEN event_id % 11 = 0 THEN NULL ELSE CAST(CAST(value AS DECIMAL(18, 3)) AS VARCHAR) END AS value FROM events""",
+    [Rule("click_first", "click", "accuracy"), Rule("c_average", "c", None, True, True), Rule("none", "no such")],
+)
+# written out, not taken from RULES: the order and what each rule asks for are what is checked
+_E10 = (
+    "drop,accuracy IFEval,pass agieval,naive_average mmlu_pro,accuracy gsm8k,accuracy math,accuracy math_prm800k_500,accuracy OmniMath,pass OlympiadBench_OE_TO_maths_en_COMP,accuracy aime2024,accuracy "
+    "openai_humaneval,pass sanitized_mbpp,score lcb_code_generation,pass humaneval_plus,pass ARC-c,accuracy bbh,naive_average GPQA_diamond,accuracy calm,Accuracy korbench,accuracy "
+    "mmlu_pro_law,accuracy aime2024_ii,accuracy calm_x,Accuracy korbench_logic,score math_500,accuracy"
+).split()
+_E10_MEAN, _E10_PREFIX = {"IFEval", "mmlu_pro", "aime2024", "calm", "korbench"}, {"mmlu_pro", "aime2024", "calm", "korbench"}
+_E10_KEY = {"aime2024": "aime2024_accuracy", "sanitized_mbpp": "sanitized_mbpp_score", "bbh": "bbh_naive_average", "calm": "calm_Accuracy"}
+_list = lambda k: "[" + ", ".join(f"'{x.split(',')[k]}'" for x in _E10) + "]"
+ORACLES["e10_rule_table"] = _summary(
+    f"""SELECT 'lab-20' || CAST(user_id % 5 AS VARCHAR) || '-s' || CAST(user_id % 4 AS VARCHAR) || '.csv' AS file, event_id AS pos, {_list(0)}[1 + event_id % {len(_E10)}] AS dataset, {_list(1)}[1 + event_id % {len(_E10)}] AS metric,
+  CASE WHEN event_id % 7 = 0 THEN '-' WHEN event_id % 11 = 0 THEN NULL ELSE CAST(CAST(value AS DECIMAL(18, 3)) AS VARCHAR) END AS value FROM events""",
+    [Rule(_E10_KEY.get(d, d), d, None if m == "pass" else m, d in _E10_PREFIX, d in _E10_MEAN) for d, m in (x.split(",") for x in _E10[:19])],
+)
 ORACLES["e09_submission"] = "SELECT doc_id AS questionId, CASE WHEN doc_id % 4 = 0 THEN '' ELSE coalesce(text, '') END AS answer FROM documents WHERE doc_id % 3 <> 0"
 _g8 = "list_distinct(list_transform(range(1, len(t) - 6), lambda i: array_to_string(list_slice(t, i, i + 7), chr(1))))"
 ORACLES["x01_contamination"] = f"""

@@ -472,15 +472,32 @@ def e07_test_set_names(spark, sf_dir):
     return d.withColumn("rank", evalreport.rank(F.col("test_set")))
 
 
+def _numbers(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Each column as a number (9 places) and, where it is none, as what it says."""
+    number = lambda k: F.round(F.col(f"`{k}`").try_cast("double"), 9) + F.lit(0.0)
+    return summary.select("file", *[c for k in keys for c in (number(k).alias(k), F.when(number(k).isNull(), F.col(f"`{k}`")).alias(f"{k}_status"))])
+
+
 @query
 def e08_summary(spark, sf_dir):
-    """Events as benchmark rows: the type is the data set, the hour the file."""
+    """Events as benchmark rows: the type is the data set, the user the file."""
     v = F.when(F.col("event_id") % 7 == 0, F.lit("bad")).when(F.col("event_id") % 11 == 0, F.lit(None)).otherwise(F.col("value").cast("decimal(18,3)").cast("string"))
     rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("pos"), F.col("event_type").alias("dataset"), F.when(F.col("event_id") % 2 == 0, "accuracy").otherwise("score").alias("metric"), v.alias("value"))
     rules = [evalreport.Rule("click_first", "click", "accuracy"), evalreport.Rule("c_average", "c", None, True, True), evalreport.Rule("none", "no such")]
-    got = evalreport.summarise(rows, rules)
-    number = F.col("c_average").try_cast("double")
-    return got.withColumn("c_average", F.when(number.isNull(), F.col("c_average")).otherwise(F.format_string("%.3f", number))).withColumn("click_first", F.when(F.col("click_first").try_cast("double").isNull(), F.col("click_first")).otherwise(F.format_string("%.3f", F.col("click_first").try_cast("double"))))
+    return _numbers(evalreport.summarise(rows, rules), [r.key for r in rules])
+
+
+@query
+def e10_rule_table(spark, sf_dir):
+    """All rules in their order, over events as rows of summary files whose names are derived from their paths."""
+    n, u = F.col("event_id"), F.col("user_id")
+    names = [r.dataset for r in evalreport.RULES] + ["mmlu_pro_law", "aime2024_ii", "calm_x", "korbench_logic", "math_500"]
+    metrics = [r.metric or "pass" for r in evalreport.RULES] + ["accuracy", "accuracy", "Accuracy", "score", "accuracy"]
+    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (n % len(names)).cast("int"))
+    path = F.concat(F.lit("/runs/lab_"), (u % 3).cast("string"), F.lit("_s"), (u % 4).cast("string"), F.lit("/20"), (u % 5).cast("string"), F.lit("/summary/summary_a.csv"))
+    v = F.when(n % 7 == 0, F.lit("-")).when(n % 11 == 0, F.lit(None)).otherwise(F.col("value").cast("decimal(18,3)").cast("string"))
+    rows = table(spark, sf_dir, "events").select(evalreport.summary_label(path).alias("file"), n.alias("pos"), pick(names).alias("dataset"), pick(metrics).alias("metric"), v.alias("value"))
+    return _numbers(evalreport.summarise(rows), [r.key for r in evalreport.RULES])
 
 
 @query

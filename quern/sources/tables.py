@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE = T.StructType.fromDDL("id string, instruction string, input string, output string, answer string, reference string, context string, cluster_id int, system string, history array<array<string>>, images array<string>")
+from quern.sources.xlsx import MOST, read_rows, write_rows
+
+_TEXTS = "id instruction input output answer reference context".split()
+SAMPLE = T.StructType(
+    [
+        *(T.StructField(c, T.StringType()) for c in _TEXTS), T.StructField("cluster_id", T.IntegerType()), T.StructField("system", T.StringType()),
+        T.StructField("history", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("images", T.ArrayType(T.StringType())),
+    ]
+)
 
 
 def read_samples(spark: SparkSession, path: str, schema: T.StructType = SAMPLE, default_id: str | None = None) -> DataFrame:
@@ -52,22 +61,70 @@ def aligned(samples: DataFrame, vectors: DataFrame, sample_id: str, vector_id: s
     return out.withColumn("warning", F.when(~whole, "samples and vectors don't match one to one: only matched rows count"))
 
 
+def paired(samples: DataFrame, vectors: DataFrame, sample_no: str, vector_no: str, mode: str = "truncate") -> tuple[DataFrame, DataFrame]:
+    """Both with rows numbered from 0 that the other has a counterpart for. Where the counts differ: 'truncate' keeps the first
+    rows of the longer one, with a warning; 'error' raises a ValueError."""
+    if mode not in ("truncate", "error"):
+        raise ValueError(f"unknown mode {mode}")
+    n, m = samples.count(), vectors.count()
+    if n != m:
+        said = f"{n} samples and {m} vectors"
+        if mode == "error":
+            raise ValueError(said)
+        warnings.warn(f"{said}: the first {min(n, m)} of each are used", stacklevel=2)
+    return samples.where(F.col(sample_no) < min(n, m)), vectors.where(F.col(vector_no) < min(n, m))
+
+
 def normalised(df: DataFrame, need: tuple[str, ...] = ()) -> DataFrame | None:
     """df with trimmed lower-case column names; None if a needed one is missing."""
     out = df.toDF(*[c.strip().lower() for c in df.columns])
     return out if set(need) <= set(out.columns) else None
 
 
-def read_predictions(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
-    """All CSV prediction tables under path but results of earlier runs, as (file, question, answer, prediction, ...)."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
-    out = normalised(raw.withColumn("file", F.input_file_name()), ("question", "answer", "prediction"))
-    if out is None:
-        raise ValueError("question, answer and prediction are needed")
-    keep = ~F.col("file").rlike(r"(_acc|_results)\.csv$")
+def table_rows(name: str, raw: bytes) -> list[dict[str, str | None]]:
+    """The rows of a CSV or spreadsheet file by trimmed lower-case column name; empty cells are None."""
+    import csv
+
+    if name.lower().endswith(".xlsx"):
+        rows = read_rows(raw)
+    else:
+        rows = [[x if x != "" else None for x in r] for r in csv.reader(io.StringIO(raw.decode("utf-8-sig", errors="replace"), newline=""))]
+    if not rows:
+        return []
+    header = [(c or "").strip().lower() for c in rows[0]]
+    return [{h: (r[k] if k < len(r) else None) for k, h in enumerate(header) if h} for r in rows[1:] if any(x is not None for x in r)]
+
+
+PREDICTION = ("index", "question", "answer", "prediction", "answer_option", "split")
+
+
+def read_predictions(spark: SparkSession, path: str, only: str | None = None, pattern: str = "*.{csv,xlsx}", recursive: bool = True, need: tuple[str, ...] = ("question", "answer", "prediction")) -> DataFrame:
+    """(file, row, index, question, answer, prediction, answer_option, split) of all prediction tables under path but results
+    of earlier runs. Each file is read by its own header; one that lacks a needed column or can't be read gives no rows.
+
+    only: what a file's name must hold. read_predictions(..., pattern="*InfoVQA_TEST.xlsx", need=("index", "prediction")) finds
+    the files of a submission.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(path)
+    base = F.regexp_extract("path", r"([^/]*)$", 1)
+    keep = ~base.rlike(r"(_acc|_results)\.(csv|xlsx)$")
     if only:
-        keep = keep & F.regexp_extract("file", r"([^/]*)$", 1).contains(only)
-    return out.where(keep)
+        keep = keep & base.contains(only)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                try:
+                    rows = table_rows(name, raw.as_py())
+                except Exception:  # noqa: BLE001 - a broken file is skipped, as one without the columns is
+                    continue
+                if not rows or any(c not in rows[0] for c in need):
+                    continue
+                for a in range(0, len(rows), 4096):
+                    part = rows[a : a + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(a, a + len(part)), pa.int64()), *(pa.array([r.get(c) for r in part], pa.string()) for c in PREDICTION)], ["file", "row", *PREDICTION])
+
+    return files.where(keep).select("path", "content").mapInArrow(run, f"file string, row long, {', '.join(f'`{c}` string' for c in PREDICTION)}")
 
 
 def read_accuracies(spark: SparkSession, path: str) -> DataFrame:
@@ -81,7 +138,7 @@ def read_summaries(spark: SparkSession, path: str, model: str) -> DataFrame:
     """(file, pos, dataset, metric, value) of all '**/summary/summary_*.csv' under path; files whose path is malformed go."""
     from quern.operators.evalreport import summary_label
 
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "summary_*.csv").option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "summary_*.csv").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import csv
@@ -117,11 +174,40 @@ def tracked_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A report (a few rows) as one CSV file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A report (a few rows) as one CSV file, or as a spreadsheet if path ends in .xlsx."""
+    if not path.endswith(".xlsx"):
+        df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+        return
+    rows = df.limit(MOST).collect()
+    _put(df.sparkSession, path, write_rows(df.columns, [tuple(r) for r in rows]))
+
+
+def _put(spark: SparkSession, path: str, raw: bytes) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(raw))
+    finally:
+        out.close()
+
+
+def submission_path(path: str) -> str:
+    """Where the submission of a prediction table goes: beside it, as a_<name>.json."""
+    folder, slash, name = path.rpartition("/")
+    return f"{folder}{slash}a_{name.rpartition('.')[0] or name}.json"
 
 
 def write_submission(rows: DataFrame, path: str) -> None:
-    """A submission as one JSON array of {questionId, answer}, in order."""
-    whole = rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct("questionId", "answer")))).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
+    """A submission as one JSON array of {questionId, answer}, in order, in one part file; rows are streamed, not gathered."""
+    lines = rows.orderBy("questionId", "answer").select(F.to_json(F.struct("questionId", "answer")).alias("value")).coalesce(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = "["  # a line waits for the comma that the next one brings
+        for b in batches:
+            for x in b.column("value").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([held])], ["value"])
+                held = ("" if held == "[" else ",") + x
+        yield pa.RecordBatch.from_arrays([pa.array([held, "]"])], ["value"])
+
+    whole = rows.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1) if rows.isEmpty() else lines.mapInArrow(run, "value string")
+    whole.write.mode("overwrite").text(path)
