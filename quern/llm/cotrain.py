@@ -72,13 +72,6 @@ def meta_features(lang: str | None, source: str | None, n_chars: int | None) ->
     return {f"lang={lang}", f"source={source}", f"size={size}", f"lang-size={lang}-{size}"}
 
 
-class Index(dict):
-    """Numbers for features, in order of appearance."""
-
-    def rows(self, features: set[str]) -> np.ndarray:
-        return np.array([self.setdefault(f, len(self)) for f in sorted(features)], np.int32)
-
-
 @dataclass
 class View:
     """A calibrated logistic regression over sets of features (by name, or by number while it is fitted)."""
@@ -96,7 +89,7 @@ class View:
     def logits(self, rows: list[np.ndarray]) -> np.ndarray:
         return self.slope * (self.bias + np.array([self.by_number[r].sum() for r in rows])) + self.shift
 
-    def named(self, index: Index) -> View:
+    def named(self, index: dict[str, int]) -> View:
         """As it is sent to the workers: features of no weight left out."""
         weights = {f: float(self.by_number[i]) for f, i in index.items() if self.by_number[i]}
         return View(weights, self.bias, self.slope, self.shift)
@@ -121,7 +114,12 @@ class Pull:
 def _apart(good: np.ndarray, bad: np.ndarray, n1: float, n0: float) -> np.ndarray:
     """By how many standard errors the shares of good of n1 and bad of n0 differ."""
     share = (good + bad) / (n1 + n0)
-    return np.abs(good / n1 - bad / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    return np.abs(good / n1 - bad / n0) / _error(share, n1, n0, np.sqrt)
+
+
+def _error(share, n1: float, n0: float, sqrt: Callable):
+    """The standard error of the difference of two shares."""
+    return sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, size: int, l2: float, least: int, z: float, steps: int = 400, pull: Pull | None = None, start: View | None = None) -> View:
@@ -210,7 +208,7 @@ SETTINGS = [(1e-4, 4, 3.0), (1e-3, 5, 2.0)]  # of the text and the metadata view
 UNIT = 1 << 20  # of the gradient's sums
 
 
-def cotrain(labelled: list[tuple[np.ndarray, np.ndarray, int]], index: tuple[Index, Index], exchange: Callable[[list[View], int], tuple[list[Pull | None], int]], rounds: int = 3) -> Model:
+def cotrain(labelled: list[tuple[np.ndarray, np.ndarray, int]], index: tuple[dict[str, int], dict[str, int]], exchange: Callable[[list[View], int], tuple[list[Pull | None], int]], rounds: int = 3) -> Model:
     """labelled: (text features, metadata features, good) by number; every fifth is held out for calibration. exchange: what
     each view gets from the other one's pseudo-labels."""
     y = np.array([g for _, _, g in labelled], float)
@@ -316,10 +314,13 @@ def _named_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for part in pieces(batches, "text", 2 << 20):
         text = [sorted(text_features(t)) for t in part.column("text").to_pylist()]
         meta = [sorted(meta_features(*x)) for x in zip(*(part.column(c).to_pylist() for c, _ in META), strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("place"), part.column("good"), pa.array(text, pa.list_(pa.string())), pa.array(meta, pa.list_(pa.string()))], ["doc_id", "place", "good", "t", "m"])
+        for v, lists in enumerate((text, meta)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, v)), part.column("good"), pa.array(lists, pa.list_(pa.string()))], ["v", "good", "f"])
+
 
+def _numbered_features(known, keep: list[str]):
+    """The columns `keep`, and the numbers of the features known in each view."""
 
-def _numbered_features(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, meta, starts = known.value
         kinds = _kind(len(text)), _kind(len(meta))
@@ -327,7 +328,7 @@ def _numbered_features(known):
         for part in pieces(batches, "text", 2 << 20):
             t = [pack(text_features(x, starts), text, kinds[0]) for x in part.column("text").to_pylist()]
             m = [pack(meta_features(*x), meta, kinds[1]) for x in zip(*(part.column(c).to_pylist() for c, _ in META), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(t, pa.binary()), pa.array(m, pa.binary())], ["key", "t", "m"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(t, pa.binary()), pa.array(m, pa.binary())], [*keep, "t", "m"])
 
     return run
 
@@ -342,31 +343,30 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 6000, rounds: int
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
     chosen = materialise(ids.join(known, "doc_id").orderBy(place, "doc_id").limit(labelled).select("doc_id", "good"))
     own = docs.select("doc_id", *_columns(docs))
-    sample = own.join(F.broadcast(chosen), "doc_id").withColumn("place", F.xxhash64(F.lit("order"), "doc_id")).withColumn("key", F.xxhash64("text"))
-    sample = sample.groupBy("doc_id", "place", "good").agg(F.min_by(F.struct("text", *[c for c, _ in META]), F.struct("key", *[c for c, _ in META])).alias("x")).select("doc_id", "place", "good", "x.*")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInArrow(_named_features, f"doc_id {kind}, place long, good int, t array<string>, m array<string>").toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])
-    good, index = got.column("good").to_pylist(), (Index(), Index())
-    ready: list[tuple[np.ndarray, np.ndarray, int]] = []
-    for k, (t, m) in enumerate(zip(got.column("t").to_pylist(), got.column("m").to_pylist(), strict=True)):
-        ready.append((index[0].rows(set(t)), index[1].rows(set(m)), good[k]))
-    if len(set(good)) < 2:
-        return cotrain(ready, index, lambda *_: ([None, None], 0), rounds)
-    # what may come to tell something: half of the standard errors that a view asks for
-    y = np.array(good, float)
-    row = np.repeat(np.arange(y.size), [t.size for t, _, _ in ready])
-    every = np.concatenate([t for t, _, _ in ready])
-    count, among_good = np.bincount(every, minlength=len(index[0])), np.bincount(every, y[row], len(index[0]))
+    sample = own.join(F.broadcast(chosen), "doc_id").withColumn("key", F.xxhash64("text"))
+    sample = materialise(sample.groupBy("doc_id", "good").agg(F.min_by(F.struct("text", *[c for c, _ in META]), F.struct("key", *[c for c, _ in META])).alias("x")).select("doc_id", "good", "x.*"))
+    n1, n0 = (sample.where(F.col("good") == g).count() for g in (1, 0))
+    if not n1 or not n0:
+        return Model(View(), View(), constant=0.0 if n0 else 1.0)
+    # what may come to tell something: features that enough documents have and that tell by half of the standard errors that a
+    # view asks for. They are counted in the cluster; those that don't tell never leave it.
     _, least, z = SETTINGS[0]
-    tells = (count >= least) & (_apart(among_good, count - among_good, y.sum(), y.size - y.sum()) >= z / 2)
-    number = np.where(tells, np.cumsum(tells) - 1, -1)
-    text = Index({f: int(number[i]) for f, i in index[0].items() if tells[i]})
-    ready = [(number[t][tells[t]], m, g) for t, m, g in ready]
-    numbers = spark.sparkContext.broadcast((dict(text), dict(index[1]), {f[:-2] for f in text if f[-2:-1] == "^"}))
+    each = sample.mapInArrow(_named_features, "v long, good int, f array<string>").select("v", "good", F.explode("f").alias("f"))
+    counted = each.groupBy("v", "f").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")).where((F.col("v") == 1) | (F.col("n") >= least)).where(F.abs(F.col("good") / n1 - (F.col("n") - F.col("good")) / n0) >= F.when(F.col("v") == 0, _error(F.col("n") / (n1 + n0), n1, n0, F.sqrt) * z / 2).otherwise(0.0))
+    names = [sorted(f for v, f in counted.select("v", "f").collect() if v == k) for k in (0, 1)]
+    index = tuple({f: i for i, f in enumerate(x)} for x in names)
+    numbers = spark.sparkContext.broadcast((*index, {f[:-2] for f in names[0] if f[-2:-1] == "^"}))
+    packed = "t binary, m binary"
+    place = F.xxhash64(F.lit("order"), "doc_id").alias("place")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = sample.select("doc_id", place, "good", "text", *[c for c, _ in META]).mapInArrow(_numbered_features(numbers, ["doc_id", "place", "good"]), f"doc_id {kind}, place long, good int, {packed}").toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])
+    lists = [[np.frombuffer(x, _kind(len(i))).astype(np.int64) for x in got.column(c).to_pylist()] for c, i in zip(("t", "m"), index, strict=True)]
+    ready = list(zip(*lists, got.column("good").to_pylist(), strict=True))
     others = own.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").select(F.xxhash64("text").alias("key"), "text", *[c for c, _ in META])
-    features = materialise(others.mapInArrow(_numbered_features(numbers), "key long, t binary, m binary").distinct())
-    model = cotrain(ready, (text, index[1]), exchange_over(features, sure), rounds)
-    discard(features)
+    features = materialise(others.mapInArrow(_numbered_features(numbers, ["key"]), f"key long, {packed}").distinct())
+    model = cotrain(ready, index, exchange_over(features, sure), rounds)
+    for x in (features, sample, chosen):
+        discard(x)
     return model
 
 
