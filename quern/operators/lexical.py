@@ -26,51 +26,51 @@ def compress_ratio(text: Column, level: int = 9) -> Column:
 
 def gram_entropy(text: Column) -> Column:
     """Entropy in bits of the word distribution; no words: 0."""
-    return X.entropy(X.frequencies(X.words(F.coalesce(text, F.lit("")))))
+    return X.over_words(text, X.entropy_of)
 
 
-def hdd(text: Column, sample_size: float = 42.0, ascii_only: bool = False) -> Column:
-    """HD-D: mean share of sample_size drawn words that a type contributes; texts with fewer words draw all of them."""
-    tokens = X.plain_words(F.coalesce(text, F.lit("")), ascii_only)
-
-    def of(counts: Column) -> Column:
-        n_words = F.aggregate(counts, F.lit(0), lambda a, c: a + c)
-
-        def score(total: Column) -> Column:
-            n = F.least(total, F.lit(int(sample_size)))
-
-            def absent(k: Column) -> Column:
-                """Probability that none of n words drawn is of a type with k of the total."""
-                return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(1.0), lambda p, i: p * F.greatest(total - k - i, F.lit(0)) / (total - i))
-
-            start = F.struct(F.lit(-1).alias("k"), F.lit(0.0).alias("p"), F.lit(0.0).alias("s"))
+def _absent(total: int, kinds: np.ndarray, n: int) -> np.ndarray:
+    """For each count in kinds: the probability that none of n words drawn from total is of a type that often."""
+    i = np.arange(n)
+    return np.prod(np.maximum(total - kinds[:, None] - i, 0) / (total - i), axis=1)
 
-            def step(a: Column, k: Column) -> Column:
-                # counts are sorted: each distinct one is worked out once
-                p = F.when(a["k"] == k, a["p"]).otherwise(1 - absent(k))
-                return X.bind(p, lambda v: F.struct(k.alias("k"), v.alias("p"), (a["s"] + v).alias("s")))
 
-            return F.when(total > 0, F.aggregate(F.array_sort(counts), start, step, lambda a: a["s"]) / n).otherwise(F.lit(0.0))
+def _hdd(tokens: list[str], sample_size: int) -> float:
+    counts = X.counts_of(tokens)
+    if not counts.size:
+        return 0.0
+    total = int(counts.sum())
+    n = min(total, sample_size)
+    kinds, many = np.unique(counts, return_counts=True)
+    return float(((1 - _absent(total, kinds, n)) * many).sum() / n)
 
-        return X.bind(n_words, score)
 
-    return X.bind(X.frequencies(tokens), of)
+def hdd(text: Column, sample_size: float = 42.0, ascii_only: bool = False) -> Column:
+    """HD-D: mean share of sample_size drawn words that a type contributes; texts with fewer words draw all of them."""
+    return X.over_plain_words(text, lambda t: _hdd(t, int(sample_size)), ascii_only)
 
 
 def logical_word_count(text: Column, words: list[str], mode: str = "substring") -> Column:
     """Occurrences of the words: of substrings that don't overlap, or of whole tokens. Blank words are ignored."""
-    listed = list(dict.fromkeys(w.strip().lower() for w in words if w.strip()))
-    low = F.lower(F.coalesce(text, F.lit("")))
-    if not listed:
-        return F.lit(0).cast("long")
-    return sum((_count(low, w, mode) for w in listed[1:]), _count(low, listed[0], mode))
+    return F.aggregate(F.map_values(logical_word_counts(text, words, mode)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def logical_word_counts(text: Column, words: list[str], mode: str = "substring") -> Column:
-    """map<word, count> of the words."""
+    """map<word, count> of the words; a text is parted into tokens once, however many words there are."""
     listed = list(dict.fromkeys(w.strip().lower() for w in words if w.strip()))
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.map_from_arrays(F.array(*[F.lit(w) for w in listed]), F.array(*[_count(low, w, mode) for w in listed])) if listed else F.create_map().cast("map<string,bigint>")
+    if not listed:
+        return F.create_map().cast("map<string,bigint>")
+    wanted = frozenset(listed)
+
+    @F.pandas_udf("array<long>")
+    def count(s: pd.Series) -> pd.Series:
+        if mode == "substring":
+            return pd.Series([[t.count(w) for w in listed] for t in s], dtype="object")
+        found = [Counter(w for w in X.ASCII_SPACE(t) if w in wanted) for t in s]
+        return pd.Series([[c[w] for w in listed] for c in found], dtype="object")
+
+    return F.map_from_arrays(F.array(*[F.lit(w) for w in listed]), count(low if mode == "substring" else F.regexp_replace(low, rf"[!-/:-@\[-`{{-~{CJK}]", " ")))
 
 
 def read_words(lines: list[str]) -> list[str]:
@@ -81,13 +81,6 @@ def read_words(lines: list[str]) -> list[str]:
 CJK = "　-〿＀-／：-＠［-｀｛-･"
 
 
-def _count(low: Column, word: str, mode: str) -> Column:
-    if mode == "substring":
-        return ((F.length(low) - F.length(F.replace(low, F.lit(word), F.lit("")))) / len(word)).cast("long")
-    tokens = F.split(F.regexp_replace(low, rf"[!-/:-@\[-`{{-~{CJK}]", " "), r"\s+")
-    return F.size(F.filter(tokens, lambda t: t == word)).cast("long")
-
-
 def _mtld(tokens: list[str], threshold: float) -> float:
     def one_way(seq: list[str]) -> float:
         factors, seen, n = 0.0, set(), 0
@@ -105,80 +98,74 @@ def _mtld(tokens: list[str], threshold: float) -> float:
 
 def mtld(text: Column, ttr_threshold: float = 0.72, ascii_only: bool = False) -> Column:
     """Mean length of runs whose type-token ratio stays above the threshold, forward and backward; no factor: the word count."""
-
-    @F.pandas_udf("double")
-    def score(s: pd.Series) -> pd.Series:
-        return pd.Series([_mtld(list(t), ttr_threshold) for t in s], dtype="float64")
-
-    return score(X.plain_words(F.coalesce(text, F.lit("")), ascii_only))
+    return X.over_plain_words(text, lambda t: _mtld(t, ttr_threshold), ascii_only)
 
 
 def str_length(*fields: str | Column) -> Column:
     return F.char_length(X.join_fields(*fields)).cast("long")
 
 
-def unique_ngram(items: Column, n: int = 2) -> Column:
-    """Distinct over all n-grams; fewer than n items: 0."""
-    return X.bind(X.ngrams(items, n), lambda g: F.when(F.size(g) > 0, F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(0.0)))
+def unique_ngram(text: Column, n: int = 2) -> Column:
+    """Distinct over all n-grams of words; fewer than n words: 0."""
+    return X.over_words(text, lambda t: X.distinct_share(t, n))
 
 
-def ttr_curve(d: float, n: np.ndarray) -> np.ndarray:
+def ttr_curve(d: np.ndarray | float, n: np.ndarray) -> np.ndarray:
     return d / n * (np.sqrt(1 + 2 * n / d) - 1)
 
 
-def fit_d(sizes: np.ndarray, ttr: np.ndarray) -> float:
-    """Least-squares D by golden section over log D."""
-    a, b, g = np.log(1e-2), np.log(1e5), (np.sqrt(5) - 1) / 2
-    loss = lambda x: float(((ttr_curve(np.exp(x), sizes) - ttr) ** 2).sum())
+def fit_d(sizes: np.ndarray, ttr: np.ndarray) -> np.ndarray:
+    """Least-squares D of each row of ttr, by golden section over log D of all rows at once."""
+    g = (np.sqrt(5) - 1) / 2
+    a, b = np.full(len(ttr), np.log(1e-2)), np.full(len(ttr), np.log(1e5))
+    loss = lambda x: ((ttr_curve(np.exp(x)[:, None], sizes) - ttr) ** 2).sum(axis=1)
     x, y = b - g * (b - a), a + g * (b - a)
     fx, fy = loss(x), loss(y)
     for _ in range(80):
-        if fx < fy:
-            b, y, fy = y, x, fx
-            x = b - g * (b - a)
-            fx = loss(x)
-        else:
-            a, x, fx = x, y, fy
-            y = a + g * (b - a)
-            fy = loss(y)
-    return float(np.exp((a + b) / 2))
+        left = fx < fy
+        a, b = np.where(left, a, x), np.where(left, y, b)
+        new = np.where(left, b - g * (b - a), a + g * (b - a))
+        f = loss(new)
+        x, y, fx, fy = np.where(left, new, y), np.where(left, x, new), np.where(left, f, fy), np.where(left, fx, f)
+    return np.exp((a + b) / 2)
 
 
 def expected_ttr(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Mean type-token ratio of a draw without replacement, exactly."""
-    total = counts.sum()
+    total = int(counts.sum())
     kinds, many = np.unique(counts, return_counts=True)
-    out = []
-    for n in sizes:
-        i = np.arange(n)
-        absent = np.prod(np.maximum(total - kinds[:, None] - i, 0) / (total - i), axis=1)
-        out.append(((1 - absent) * many).sum() / n)
-    return np.array(out)
+    i = np.arange(int(sizes.max()))
+    absent = np.cumprod(np.maximum(total - kinds[:, None] - i, 0) / (total - i), axis=1)[:, sizes - 1]
+    return (many @ (1 - absent)) / sizes
 
 
 def vocd(text: Column, ntokens: int = 50, within_sample: int = 100, seed: int = 42, mode: str = "expected", ascii_only: bool = False) -> Column:
-    """D of the curve that fits mean type-token ratios of samples of 35 to 50 words; fewer than ntokens words: 0.
+    """D of the curve that fits mean type-token ratios of samples of 35 to ntokens words; fewer than ntokens words: 0.
 
-    mode 'expected' takes the exact mean (the same on every run); 'sampled' the mean of within_sample seeded draws.
+    mode 'expected' takes the exact mean that draws approach (the same on every run); 'sampled' the mean of within_sample
+    draws of each size, seeded by seed and the text.
     """
-    sizes = np.arange(35, 51)
+    if ntokens < 35:
+        raise ValueError("ntokens must be 35 or more")
+    sizes = np.arange(35, ntokens + 1)
+
+    def ratios(tokens: list[str]) -> np.ndarray:
+        if mode == "expected":
+            return expected_ttr(X.counts_of(tokens), sizes)
+        rng = np.random.default_rng([seed, zlib.crc32("\n".join(tokens).encode())])
+        _, ids = np.unique(tokens, return_inverse=True)
+        return np.array([np.mean([len(np.unique(rng.choice(ids, n, replace=False))) / n for _ in range(within_sample)]) for n in sizes])
 
     @F.pandas_udf("double")
     def score(s: pd.Series) -> pd.Series:
-        out = []
-        for row in s:
-            tokens = list(row)
-            if len(tokens) < max(ntokens, int(sizes[-1])):
-                out.append(0.0)
-            elif mode == "expected":
-                out.append(fit_d(sizes, expected_ttr(np.array(list(Counter(tokens).values())), sizes)))
-            else:
-                rng = np.random.default_rng([seed, zlib.crc32("\n".join(tokens).encode())])
-                _, ids = np.unique(tokens, return_inverse=True)
-                out.append(fit_d(sizes, np.array([np.mean([len(np.unique(rng.choice(ids, n, replace=False))) / n for _ in range(within_sample)]) for n in sizes])))
-        return pd.Series(out, dtype="float64")
-
-    return score(X.plain_words(F.coalesce(text, F.lit("")), ascii_only))
+        out = np.zeros(len(s))
+        tokens = [[w for w in X.ASCII_SPACE(t) if w] for t in s]
+        long = [k for k, t in enumerate(tokens) if len(t) >= ntokens]
+        if long:
+            out[long] = fit_d(sizes, np.array([ratios(tokens[k]) for k in long]))
+        return pd.Series(out)
+
+    return score(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), X.ASCII_PUNCTUATION if ascii_only else X.PUNCTUATION, ""))
 
 
 def gram_entropy_by_shuffle(df: DataFrame, id_col: str, text: Column) -> DataFrame:

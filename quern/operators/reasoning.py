@@ -49,8 +49,20 @@ def is_python(text: str | None) -> int:
     return 1
 
 
+def tree_sitter_python(text: str | None) -> int:
+    """is_python() by tree-sitter's grammar, where that is installed: 1 if no block's tree has an error."""
+    if not text or not text.strip():
+        return 0
+    import tree_sitter
+    import tree_sitter_python as grammar
+
+    parser = tree_sitter.Parser(tree_sitter.Language(grammar.language()))
+    return int(not any(parser.parse(b.encode()).root_node.has_error for b in code_blocks(text)))
+
+
 def ts_python(field: str | Column = "output", parser=is_python) -> Column:
-    """1 if every code block (or the text, if it has none) parses as Python; empty: 0. parser may be replaced."""
+    """1 if every code block (or the text, if it has none) parses as Python; empty: 0. parser may be replaced, as by
+    tree_sitter_python, which differs on old syntax."""
 
     @F.pandas_udf("int")
     def valid(s: pd.Series) -> pd.Series:

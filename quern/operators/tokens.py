@@ -14,7 +14,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.operators.lexical import unique_ngram
 
 Tokenizer = Callable[[Iterable[str]], list[list[int]]]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,18 +51,42 @@ def token_ids(text: Column, tokenizer: Tokenizer = byte_tokens) -> Column:
     return ids(text)
 
 
+def _over_tokens(text: Column, tokenizer: Tokenizer, score: Callable[[list[int]], float]) -> Column:
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([score(t) for t in tokenizer([x or "" for x in s])], dtype="float64")
+
+    return run(text)
+
+
 def token_entropy(text: Column, tokenizer: Tokenizer = byte_tokens) -> Column:
-    return X.entropy(X.frequencies(token_ids(text, tokenizer)))
+    """Entropy in bits of the distribution of tokens; none: 0."""
+    return _over_tokens(text, tokenizer, X.entropy_of)
 
 
 def token_length(text: Column, tokenizer: Tokenizer = byte_tokens) -> Column:
     if tokenizer is byte_tokens:
         return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
-    return F.size(token_ids(text, tokenizer)).cast("long")
+    return _over_tokens(text, tokenizer, len).cast("long")
 
 
 def unique_ntoken(text: Column, n: int = 2, tokenizer: Tokenizer = byte_tokens) -> Column:
-    return unique_ngram(token_ids(text, tokenizer), n)
+    """Distinct over all n-grams of tokens; fewer than n tokens: 0."""
+    return _over_tokens(text, tokenizer, lambda t: X.distinct_share(t, n))
+
+
+def spacy_heads(model: str) -> Callable[[str], list[int]]:
+    """A parser by a spaCy pipeline, where that is installed: each token's head, -1 for roots."""
+    loaded: list = []
+
+    def heads(text: str) -> list[int]:
+        if not loaded:
+            import spacy
+
+            loaded.append(spacy.load(model))
+        return [-1 if t.head.i == t.i else t.head.i for t in loaded[0](text)]
+
+    return heads
 
 
 def chain_heads(text: str) -> list[int]:

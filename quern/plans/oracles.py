@@ -52,8 +52,8 @@ FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn =
 FIELDS = "concat_ws(chr(10), nullif(instruction, ''), nullif(input, ''), nullif(output, ''))"
 SAMPLE = "concat_ws(chr(10), coalesce(instruction, ''), nullif(input, ''), coalesce(output, ''))"
 ORACLES["h07_str_length"] = f"SELECT id, CAST(length({FIELDS}) AS BIGINT) AS score FROM ({SAMPLES})"
-ORACLES["h10_token_length"] = "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS score FROM documents"
-ORACLES["long_cot_samples"] = f"SELECT id, CAST(strlen({SAMPLE}) AS BIGINT) AS total FROM ({SAMPLES}) WHERE strlen({SAMPLE}) > 4096"
+ORACLES["h10_byte_length"] = "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS score FROM documents"
+ORACLES["long_cot_samples"] = "SELECT doc_id AS id, CAST(strlen(text) AS BIGINT) AS total FROM documents WHERE strlen(text) > 4096"
 # bytes of UTF-8, from the hexadecimal form
 _hex = "hex(encode(text))"
 BYTES = f"list_transform(range(0, strlen(text)), lambda i: substr({_hex}, 2 * i + 1, 2))"
@@ -159,11 +159,10 @@ _r = lambda x, name="score": f"round({x}, 6) + 0.0 AS {name}"
 _edu = "CAST(round(greatest(least(reward * 5, 5.0), 0.0)) AS INTEGER)"
 ROWS: dict[str, str] = {
     "m01_ask_llm": _r("list_avg(logprobs)"),
-    **{n: _r("reward") for n in ("m02_athene", "m12_gpt2_harmless", "m13_gpt2_helpful", "m17_inf_orm", "m25_rm_deberta", "m31_skywork_llama", "m32_skywork_qwen", "m39_unieval_fact")},
     **{n: _r(_soft("l6", 0)) for n in ("m03_cleanliness", "m23_professionalism", "m26_readability", "m27_reasoning")},
     **{n: _r(_soft("l6", 1)) for n in ("m06_deita_c", "m07_deita_q")},
     "m05_deberta": "CAST(list_position(l3, list_max(l3)) - 1 AS INTEGER) AS class",
-    "m11_fineweb_edu": f"{_r('reward * 5')}, {_edu} AS int_score",
+    "m11_fineweb_edu": f"{_r('reward * 5')}, {_edu} AS int_score, {_edu} >= 3 AS keep",
     "m14_grand": _r(_n("nll")),
     "m15_hes": _r("list_sum(list_filter(entropies, lambda h: h >= quantile))"),
     "m16_ifd": _r("exp(list_avg(nll2)) / exp(list_avg(nll))"),
@@ -179,6 +178,8 @@ ROWS: dict[str, str] = {
 }
 for _name, _x in ROWS.items():
     ORACLES[_name] = f"SELECT id, {_x} FROM ({RAW})"
+_rewards = ("AtheneScorer", "Gpt2HarmlessScorer", "Gpt2HelpfulScorer", "InfOrmScorer", "RMDeBERTaScorer", "SkyworkLlamaScorer", "SkyworkQwenScorer")
+ORACLES["m_rewards"] = "SELECT id, " + ", ".join(_r(f"v[{k + 1}]", n) for k, n in enumerate(_rewards)) + f", {_r('abs(v[10])', 'UniEvalFactScorer_UniEval_Consistency')} FROM ({RAW})"
 ORACLES["m15_hes"] = f"WITH h AS (SELECT id, unnest(entropies) AS h FROM ({RAW})), q AS (SELECT id, h, quantile_cont(h, 0.995) OVER (PARTITION BY id) AS t FROM h) SELECT id, {_r('sum(h) FILTER (WHERE h >= t)')} FROM q GROUP BY id"
 ORACLES["m10_fail_rate"] = f"SELECT id, round(1 - len(list_filter(list_slice(v, 1, 8), lambda q: q > 0)) / 8, 6) + 0.0 AS score FROM ({RAW})"
 ORACLES["m04_complexity"] = r"""

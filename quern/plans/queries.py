@@ -5,19 +5,20 @@ The tables hold no model outputs, so parts of the embeddings stand in for logits
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import text as X
 from quern.functions import vectors as V
-from quern.operators import clusters, evalreport, judge, lexical, novelty, pairwise, reasoning, spectral, tokens
+from quern.operators import clusters, contamination, evalreport, judge, lexical, novelty, pairwise, reasoning, spectral, tokens
 from quern.operators import posterior as P
 from quern.plans import registry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+VOCABULARY = os.environ.get("QUERN_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 LOGICAL_WORDS = ["the", "and", "because", "therefore", "von", "que"]
 
 
@@ -126,13 +127,25 @@ def h08_think_or_not(spark, sf_dir):
     return responses(spark, sf_dir).select("doc_id", reasoning.think_or_not().alias("score"))
 
 
+def tokenizer() -> tokens.Tokenizer:
+    """A public vocabulary of 50,256 tokens."""
+    with open(VOCABULARY, "rb") as f:
+        return tokens.tiktoken_tokens(f.read())
+
+
 @query
 def h09_token_entropy(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", r6(tokens.token_entropy(F.col("text"))).alias("score"))
+    return documents(spark, sf_dir).select("doc_id", r6(tokens.token_entropy(F.col("text"), tokenizer())).alias("score"))
 
 
 @query
 def h10_token_length(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", tokens.token_length(F.col("text"), tokenizer()).alias("score"))
+
+
+@query
+def h10_byte_length(spark, sf_dir):
+    """Token length with bytes as tokens."""
     return documents(spark, sf_dir).select("doc_id", tokens.token_length(F.col("text")).alias("score"))
 
 
@@ -149,12 +162,12 @@ def h12_ts_python(spark, sf_dir):
 
 @query
 def h13_unique_ngram(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", r6(lexical.unique_ngram(X.words(F.col("text")), 2)).alias("score"))
+    return documents(spark, sf_dir).select("doc_id", r6(lexical.unique_ngram(F.col("text"), 2)).alias("score"))
 
 
 @query
 def h14_unique_ntoken(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", r6(tokens.unique_ntoken(F.col("text"), 2)).alias("score"))
+    return documents(spark, sf_dir).select("doc_id", r6(tokens.unique_ntoken(F.col("text"), 2, tokenizer())).alias("score"))
 
 
 @query
@@ -172,9 +185,9 @@ def fused_scorers(spark, sf_dir):
 
 @query
 def long_cot_samples(spark, sf_dir):
-    """Samples of more than 4096 tokens in all."""
-    s = samples(spark, sf_dir).withColumn("total", tokens.token_length(X.join_sample("instruction", "input", "output")))
-    return s.where(tokens.long_cot(F.col("total"))).select("id", "total")
+    """Documents, as responses, of more than 4096 bytes."""
+    s = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), tokens.token_length(F.col("text")).alias("total"))
+    return s.where(tokens.long_cot(F.col("total")))
 
 
 # --- datasets and embeddings -----------------------------------------------------------------------------------------
@@ -270,11 +283,10 @@ def d10_vendi(spark, sf_dir):
 #: name -> output columns over raw_outputs(); those in WHOLE aren't rounded.
 ROW_SCORES: dict[str, Callable[[], dict[str, Column]]] = {
     "m01_ask_llm": lambda: {"score": P.ask_llm(F.col("logprobs"))},
-    **{n: (lambda: {"score": F.col("reward")}) for n in ("m02_athene", "m12_gpt2_harmless", "m13_gpt2_helpful", "m17_inf_orm", "m25_rm_deberta", "m31_skywork_llama", "m32_skywork_qwen", "m39_unieval_fact")},
     **{n: (lambda: {"score": P.class_expectation(F.col("l6"))}) for n in ("m03_cleanliness", "m23_professionalism", "m26_readability", "m27_reasoning")},
     **{n: (lambda: {"score": P.class_expectation(F.col("l6"), 1.0)}) for n in ("m06_deita_c", "m07_deita_q")},
     "m05_deberta": lambda: {"class": P.argmax(F.col("l3"))},
-    "m11_fineweb_edu": lambda: {"score": P.educational(F.col("reward") * 5)["score"], "int_score": P.educational(F.col("reward") * 5)["int_score"]},
+    "m11_fineweb_edu": lambda: {"score": P.educational(F.col("reward") * 5)["score"], "int_score": P.educational(F.col("reward") * 5)["int_score"], "keep": P.educational(F.col("reward") * 5)["keep"]},
     "m14_grand": lambda: {"score": P.grand(F.col("nll"))},
     "m15_hes": lambda: {"score": P.hes(F.col("entropies"))},
     "m16_ifd": lambda: {"score": P.ifd(F.col("nll2"), F.col("nll"))},
@@ -288,7 +300,7 @@ ROW_SCORES: dict[str, Callable[[], dict[str, Column]]] = {
     "m38_unieval_dialog": lambda: {"overall": P.overall(*[F.get("nll", F.lit(k)) for k in range(5)])},
     "m40_unieval_sum": lambda: {"overall": P.overall(*[F.get("nll", F.lit(k)) for k in range(4)])},
 }
-WHOLE = {"class", "int_score"}
+WHOLE = {"class", "int_score", "keep"}
 
 
 def _row_score(make: Callable[[], dict[str, Column]]) -> Query:
@@ -298,6 +310,18 @@ def _row_score(make: Callable[[], dict[str, Column]]) -> Query:
 QUERIES.update({n: _row_score(f) for n, f in ROW_SCORES.items()})
 
 
+#: Scorers whose score is what their model returns.
+REWARDS = ("AtheneScorer", "Gpt2HarmlessScorer", "Gpt2HelpfulScorer", "InfOrmScorer", "RMDeBERTaScorer", "SkyworkLlamaScorer", "SkyworkQwenScorer")
+
+
+@query
+def m_rewards(spark, sf_dir):
+    """The reward scorers and the factual one, each over an output of its own."""
+    v = embeddings(spark, sf_dir)
+    raw = v.select("id", *[r6(F.get("v", F.lit(k))).alias(f"reward_{k}") for k in range(len(REWARDS))], r6(F.abs(F.get("v", F.lit(9)))).alias("consistency"))
+    return registry.score(raw, [*({"name": n, "column": f"reward_{k}"} for k, n in enumerate(REWARDS)), {"name": "UniEvalFactScorer"}])
+
+
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated texts of several forms."""
     n = F.col("doc_id")
@@ -510,11 +534,7 @@ def e09_submission(spark, sf_dir):
 @query
 def x01_contamination(spark, sf_dir):
     """Share of each benchmark item's 8-grams that a document holds, for pairs that share any."""
-    grams = lambda t, k: t.select(F.col(k), F.explode(F.array_distinct(X.ngrams(X.words(F.col("text")), 8))).alias("g"))
-    items = grams(table(spark, sf_dir, "benchmark"), "item_id")
-    n = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    both = grams(documents(spark, sf_dir), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("c"))
-    return both.join(n, "item_id").select("doc_id", "item_id", r6(F.col("c") / F.col("n")).alias("share"))
+    return contamination.shares(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), 8).select("doc_id", "item_id", r6("share").alias("share"))
 
 
 @query

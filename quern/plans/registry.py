@@ -63,7 +63,7 @@ SAMPLE: dict[str, Make] = {
     "TokenLengthScorer": _one(lambda c: tokens.token_length(_f(c), c.get("tokenizer", tokens.byte_tokens))),
     "TreeInstructScorer": _tree,
     "TsPythonScorer": _one(lambda c: reasoning.ts_python(c.get("field", "output"))),
-    "UniqueNgramScorer": _one(lambda c: lexical.unique_ngram(X.words(_i(c)), c.get("n", 2))),
+    "UniqueNgramScorer": _one(lambda c: lexical.unique_ngram(_i(c), c.get("n", 2))),
     "UniqueNtokenScorer": _one(lambda c: tokens.unique_ntoken(_i(c), c.get("n", 2), c.get("tokenizer", tokens.byte_tokens))),
     "VocdDScorer": _one(lambda c: lexical.vocd(_i(c), c.get("ntokens", 50), c.get("within_sample", 100), c.get("seed", 42), c.get("mode", "expected"))),
 }
