@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.functions import vectors as V
 from quern.operators.blocks import block_pairs, distances
+from quern.operators.contamination import grams
 
 
 def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -32,12 +33,13 @@ def apjs(df: DataFrame, id_col: str, text: Column, n: int = 1, similarity_method
     """Average pairwise Jaccard similarity of n-gram sets; two empty sets have similarity 0. One row."""
     items = tokens if tokens is not None else X.words(F.coalesce(text, F.lit("")))
     sets = df.select(F.col(id_col).alias("id"), F.array_distinct(X.ngrams(items, n)).alias("g"))
-    size = sets.agg(F.count(F.lit(1)).alias("num_samples"))
+    size = df.agg(F.count(F.lit(1)).alias("num_samples"))
     if similarity_method == "minhash":
-        total = _minhash_sum(sets, num_perm)
+        hashes = grams(text, n) if tokens is None else F.transform(F.array_distinct(X.ngrams(items, n)), lambda g: F.xxhash64(g))
+        total = _minhash_sum(df.select(hashes.alias("h")), num_perm)
     else:
-        grams = sets.select("id", F.size("g").alias("s"), F.explode("g").alias("gram"))
-        a, b = grams.select(F.col("id").alias("i"), F.col("s").alias("si"), "gram"), grams.select(F.col("id").alias("j"), F.col("s").alias("sj"), "gram")
+        each = sets.select("id", F.size("g").alias("s"), F.explode("g").alias("gram"))
+        a, b = each.select(F.col("id").alias("i"), F.col("s").alias("si"), "gram"), each.select(F.col("id").alias("j"), F.col("s").alias("sj"), "gram")
         common = a.join(b, "gram").where("i < j").groupBy("i", "j", "si", "sj").agg(F.count(F.lit(1)).alias("c"))
         near = common.select("i", "j", (F.col("c") / (F.col("si") + F.col("sj") - F.col("c"))).alias("sim"))
         if sample_pairs:
@@ -50,7 +52,7 @@ def apjs(df: DataFrame, id_col: str, text: Column, n: int = 1, similarity_method
 
 
 def _minhash_sum(sets: DataFrame, num_perm: int) -> DataFrame:
-    """Expected Jaccard sum over all pairs, from how often minima agree: no pair is formed."""
+    """sets: h array<long>. Expected Jaccard sum over all pairs, from how often minima agree: no pair is formed."""
     rng = np.random.default_rng(1)
     a, b = (rng.integers(1, 1 << 63, num_perm, dtype=np.uint64) | np.uint64(1) for _ in range(2))
 
@@ -67,8 +69,7 @@ def _minhash_sum(sets: DataFrame, num_perm: int) -> DataFrame:
                     out.append(low.view(np.int64))
             yield pd.DataFrame({"m": out})
 
-    hashed = sets.where(F.size("g") > 0).select(F.transform("g", lambda g: F.xxhash64(g)).alias("h"))
-    signature = hashed.mapInPandas(minima, "m array<long>")
+    signature = sets.where(F.size("h") > 0).mapInPandas(minima, "m array<long>")
     equal = signature.select(F.posexplode("m").alias("p", "x")).groupBy("p", "x").count()
     return equal.agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2) / num_perm, F.lit(0.0)).alias("total"))
 

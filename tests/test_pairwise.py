@@ -20,3 +20,19 @@ def test_apjs_minhash_estimates_the_exact_mean(spark):
     near = apjs(df, "doc_id", F.col("text"), similarity_method="minhash", num_perm=512).first()
     assert exact["num_pairs"] == near["num_pairs"] == len(pairs)
     assert abs(exact["score"] - want) < 1e-9 and abs(near["score"] - want) < 0.05
+
+
+def test_minhash_query(spark):
+    import itertools
+
+    import pytest
+
+    from compare import SF_DIR, connection
+    from quern.functions.text import WORDS
+    from quern.plans.queries import QUERIES
+
+    sets = [set(WORDS.findall(t.lower())) for (t,) in connection().execute("SELECT text FROM documents").fetchall()]
+    want = sum(len(a & b) / len(a | b) if a or b else 0.0 for a, b in itertools.combinations(sets, 2)) / (len(sets) * (len(sets) - 1) / 2)
+    got = QUERIES["d01_apjs_minhash"](spark, SF_DIR).first()
+    assert got["num_samples"] == len(sets) and got["num_pairs"] == len(sets) * (len(sets) - 1) // 2
+    assert got["score"] == pytest.approx(want, rel=0.15)
