@@ -35,4 +35,8 @@ def test_minhash_query(spark):
     want = sum(len(a & b) / len(a | b) if a or b else 0.0 for a, b in itertools.combinations(sets, 2)) / (len(sets) * (len(sets) - 1) / 2)
     got = QUERIES["d01_apjs_minhash"](spark, SF_DIR).first()
     assert got["num_samples"] == len(sets) and got["num_pairs"] == len(sets) * (len(sets) - 1) // 2
-    assert got["score"] == pytest.approx(want, rel=0.15)
+    # words that most texts hold decide at once about many pairs: with ideal permutations, the mean of 128 has a standard
+    # deviation of 0.0048 here
+    assert abs(got["score"] - want) < 0.0145
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    assert apjs(docs, "doc_id", F.col("text"), similarity_method="minhash", num_perm=2048).first()["score"] == pytest.approx(want, rel=0.12)
