@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -256,7 +257,24 @@ def decode(df: DataFrame, tokens: str = "tokens", text: str = "text", vocabulary
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = of(raw.value, PATTERN)
         for batch in batches:
-            out = [None if t is None else bpe.decode(t) for t in batch.column(tokens).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, text])
+            lists = batch.column(tokens)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            if ids.size and (ids.min() < 0 or ids.max() >= bpe.lengths.size or not bpe.lengths[ids].all()):
+                raise ValueError("unknown token")
+            got = bpe.decode_array(ids)
+            at = np.concatenate(([0], np.cumsum(bpe.lengths[ids])))[np.concatenate(([0], np.cumsum(size)))]
+            raw_bytes = got.tobytes()
+            try:
+                if got.size:
+                    raw_bytes.decode()
+                    if (got[at[(at > 0) & (at < got.size)]] & 0xC0 == 0x80).any():  # a text begins within a character
+                        raise UnicodeError
+                whole = pa.Array.from_buffers(pa.large_string(), len(lists), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw_bytes)]).cast(pa.string())
+                out = pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), whole)
+            except UnicodeError:
+                each = [raw_bytes[a:b].decode(errors="replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                out = pa.array(each, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, text])
 
     return kept.mapInArrow(run, schema)

@@ -38,12 +38,20 @@ def _open(path: str):
 def write_token_files(docs: DataFrame, folder: str, text_col: str = "text", vocabulary: str = VOCABULARY, separator: int = SEPARATOR) -> DataFrame:
     """(file, path, n_bytes), one row for each flat uint16 file; file is the partition's number.
 
+    A separator that is a token of the vocabulary, or ids that don't fit 16 bits, are an error.
+
     A file's name is unique to the attempt that writes it, and only attempts that end well have a row here, so a lost or
     repeated task leaves nothing that is read.
     """
     spark = docs.sparkSession
     ship(spark)
-    raw = spark.sparkContext.broadcast(B.read_vocabulary(vocabulary))
+    content = B.read_vocabulary(vocabulary)
+    ids = {int(line.split()[1]) for line in content.splitlines() if line}
+    if separator in ids:
+        raise ValueError(f"the separator {separator} is a token of the vocabulary")
+    if max(ids | {separator}) >= 1 << 16:
+        raise ValueError("token ids above 65,535 don't fit the files")
+    raw = spark.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = B.of(raw.value, B.PATTERN)

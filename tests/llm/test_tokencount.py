@@ -53,3 +53,14 @@ def test_documents(spark):
     got = tokencount.token_counts(docs).orderBy("file", "doc_no").collect()
     assert [x["n_tokens"] for x in got] == [len(own.encode(t or "")) for t in texts] and all(x["closed"] for x in got)
     assert tokencount.token_counts(docs.where("false")).count() == 0
+
+
+def test_ids_that_do_not_fit(spark, tmp_path):
+    import base64
+
+    docs = spark.createDataFrame([("a",)], "text string")
+    vocabulary = tmp_path / "v"
+    for last, separator in ((70_000, 300), (300, 65_536), (300, 300)):
+        vocabulary.write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {b}\n" for b in range(256)) + f"{base64.b64encode(b'ab').decode()} {last}\n")
+        with pytest.raises(ValueError):
+            tokencount.write_token_files(docs, str(tmp_path), vocabulary=str(vocabulary), separator=separator)
