@@ -4,8 +4,10 @@ Records: record_id, uri, at (capture time, any orderable type), kind ('response'
 (map<string,string>, names in any case). Canonical URL: scheme, user, 'www.', default port, fragment, trailing slashes and
 tracking parameters are dropped, the host is lower case, parameters are sorted.
 
-The as-of join is one window per canonical URL in order of time: the last response with status 200 before the revisit (at the
-same time: responses count as earlier, the largest record_id wins). Its body stays where it is; the result refers to it.
+The as-of join looks for the last response with status 200 before the revisit in order of time (at the same time: responses
+count as earlier, the largest record_id wins). Its body stays where it is; the result refers to it. Records are parted by
+ranges of (canonical URL, time), so that a hot URL is spread over many tasks; within a part a window finds the last response,
+and what a part's first URL needs from before comes from a window over one row a part.
 Validators: an ETag that both have decides (weak comparison); else Last-Modified that both have; else nothing contradicts.
 Headers: those of the 304 replace the stored ones, except those that a 304 must not update (content-*, but content-location
 and content-language, and hop-by-hop ones).
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.llm.common import materialise
+
 FIXED = ["connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade"]
 TRACKING = "^(utm_[a-z]+|fbclid|gclid|ref)(=|$)"
 
@@ -42,16 +46,29 @@ def _lower_names(headers: Column) -> Column:
     return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != F.lower(e["key"])), F.map_from_entries(F.array(F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))))
 
 
-def resolve(records: DataFrame) -> DataFrame:
-    """(record_id, canonical, refers_to, outcome, headers) for each revisit with status 304; headers: sorted 'name: value' lines."""
+def resolve(records: DataFrame, parts: int | None = None) -> DataFrame:
+    """(record_id, canonical, refers_to, outcome, headers) for each revisit with status 304; headers: sorted 'name: value' lines.
+
+    parts: how many ranges; the session's number of shuffle partitions, if it isn't given."""
     rows = records.select("record_id", canonical_url(F.col("uri")).alias("canonical"), "at", "kind", "status", _lower_names(F.col("headers")).alias("h"))
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     wanted = (F.col("kind") == "revisit") & (F.col("status") == 304)
     rows = rows.where(full | wanted).withColumn("late", F.when(full, 0).otherwise(1))
     # a missing URL has no partition of its own: its record is its key
     key = F.coalesce(F.col("canonical"), F.concat(F.lit("\0"), F.col("record_id").cast("string")))
-    order = W.partitionBy(key).orderBy(F.col("at").asc_nulls_first(), "late", "record_id").rowsBetween(W.unboundedPreceding, 0)
-    found = rows.withColumn("base", F.last(F.when(full & F.col("canonical").isNotNull(), F.struct("record_id", "h")), ignorenulls=True).over(order)).where(wanted)
+    order = [F.col("at").asc_nulls_first(), "late", "record_id"]
+    ranged = rows.withColumn("key", key).repartitionByRange(*([parts] if parts else []), "key", *order).withColumn("part", F.spark_partition_id())
+    rows = materialise(ranged)  # the ranges are drawn from a sample: drawn again they'd differ
+    before = W.partitionBy("part", "key").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    response = F.when(full & F.col("canonical").isNotNull(), F.struct("record_id", "h"))
+    found = rows.withColumn("base", F.last(response, ignorenulls=True).over(before)).where(wanted)
+    # one row a part, so as many as there are partitions: its first key, and its last one with that one's last response
+    ends = rows.groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("key"))
+    last = rows.where(response.isNotNull()).join(F.broadcast(ends.select("part", "key")), ["part", "key"]).groupBy("part", "key").agg(F.max_by(F.struct("record_id", "h"), F.struct(F.col("at").isNotNull(), "at", "record_id")).alias("last"))
+    since = W.partitionBy("key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    steps = ends.join(F.broadcast(last), ["part", "key"], "left").select("part", "key", "last").unionByName(ends.where("first <> key").select("part", F.col("first").alias("key"), F.lit(None).alias("last")))
+    brought = steps.withColumn("brought", F.last("last", ignorenulls=True).over(since)).where("brought is not null").select("part", "key", "brought")
+    found = found.join(F.broadcast(brought), ["part", "key"], "left").withColumn("base", F.coalesce("base", "brought"))
     weak = lambda x: F.regexp_replace(x, "^W/", "")
     old, new = F.col("base.h"), F.col("h")
     tag, when = [weak(m["etag"]) for m in (old, new)], [m["last-modified"] for m in (old, new)]

@@ -76,3 +76,18 @@ def test_captures(spark):
     pages = spark.createDataFrame([(0, "http://a.org", "<p>"), (11, "http://a.org", None), (12, None, "x")], "page_id long, url string, html string")
     got = {x["record_id"]: x["outcome"] for x in resolve(captures(pages)).collect()}
     assert got == {1: "changed", 2: "missing", 45: "resolved", 46: "changed", 49: "missing"}
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_a_hot_url_over_many_parts(spark, parts):
+    import random
+
+    r = random.Random(parts)
+    urls = ["http://hot.org/"] * 6 + ["http://a.org", "http://z.org", None]
+    canon = {"http://hot.org/": "hot.org", "http://a.org": "a.org", "http://z.org": "z.org", None: None}
+    rows = []
+    for i in range(400):
+        kind, status = r.choice([("response", 200), ("revisit", 304), ("revisit", 304), ("revisit", 304), ("response", 404)])
+        rows.append((i, r.choice(urls), r.choice([None, 5, r.randrange(2000)]) if i % 9 == 0 else r.randrange(60), kind, status, {"ETag": f"e{r.randrange(2)}"}))
+    got = sorted((tuple(x) for x in resolve(frame(spark, rows), parts).collect()), key=str)
+    assert got == brute(rows, canon)
