@@ -1,6 +1,7 @@
 import itertools
 import random
 import time
+from pathlib import Path
 
 from quern.llm.htmltext import blocks, extract, extract_pages, first_pass, second_pass
 
@@ -112,3 +113,106 @@ def test_frames(spark):
     assert [(x["page_id"], x["n_blocks"], x["n_kept"]) for x in got] == [(1, 0, 0), (2, 0, 0), (3, 1, 1), (3, 1, 1), (None, 1, 0), (4, 3000, 3000)]
     assert got[0]["text"] is None and got[1]["text"] == "" and got[2]["text"] == GOOD.strip()
     assert extract_pages(df.where("false")).count() == 0
+
+
+def plain_extract(markup):
+    """The same rules over another parser's events, one loop a rule."""
+    from html.parser import HTMLParser
+
+    from quern.llm.htmltext import BLOCK, HIDDEN, STOP
+
+    class Events(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.now, self.hidden, self.link, self.breaks, self.lang = [], [], [], False, 0, None
+
+        def flush(self):
+            self.out.append(self.now)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if self.hidden:
+                self.hidden.append(tag) if tag == self.hidden[0] else None
+            elif tag in HIDDEN:
+                self.hidden = [tag]
+            elif tag == "a":
+                self.link = True
+            elif tag == "br":
+                self.now.append((" ", False))
+                self.breaks += 1
+                if self.breaks == 2:
+                    self.flush()
+            elif tag in BLOCK:
+                self.flush()
+                self.breaks = 0
+            if tag == "html":
+                self.lang = dict(attrs).get("lang", "")[:2]
+
+        def handle_endtag(self, tag):
+            if self.hidden:
+                if tag == self.hidden[0]:
+                    self.hidden.pop()
+                    self.now.append((" ", False))
+            elif tag == "a":
+                self.link = False
+            elif tag in BLOCK:
+                self.flush()
+                self.breaks = 0
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.now.append((data, self.link))
+                if data.strip():
+                    self.breaks = 0
+
+    p = Events()
+    p.feed(markup)
+    p.close()
+    p.flush()
+    found = []
+    for parts in p.out:
+        text = " ".join("".join(t for t, _ in parts).split())
+        if text:
+            found.append((text, sum(len(" ".join(t.split())) for t, linked in parts if linked)))
+    labels = []
+    for text, linked in found:
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        lists = [STOP[p.lang]] if p.lang in STOP else list(STOP.values())
+        density = max(sum(w in s for w in words) for s in lists) / len(words) if words else 0
+        if linked > 0.2 * len(text) or "©" in text:
+            labels.append("bad")
+        elif len(text) < 70:
+            labels.append("bad" if linked else "short")
+        elif density < 0.15:
+            labels.append("bad")
+        else:
+            labels.append("good" if density >= 0.2 and len(text) > 200 else "near")
+
+    def nearest(xs, i, step):
+        j = i + step
+        while 0 <= j < len(xs) and xs[j] not in ("good", "bad"):
+            j += step
+        return (xs[j] if 0 <= j < len(xs) else "bad"), abs(j - i)
+
+    one = [x if x != "near" else "good" if "good" in (nearest(labels, i, -1)[0], nearest(labels, i, 1)[0]) else "bad" for i, x in enumerate(labels)]
+    two = []
+    for i, x in enumerate(one):
+        a, b = nearest(one, i, -1), nearest(one, i, 1)
+        two.append(x if x != "short" else a[0] if a[1] <= b[1] else b[0])
+    kept = [t for (t, _), x in zip(found, two, strict=True) if x == "good"]
+    return "\n".join(kept), len(found), len(kept)
+
+
+def test_query_against_another_parser(spark):
+    """The query over its whole table."""
+    import pytest
+
+    from compare import SF_DIR, connection
+    from quern.llm.queries import QUERIES
+
+    if not Path(SF_DIR).exists():
+        pytest.skip("no test tables here")
+    pages = dict(connection().execute("SELECT page_id, html FROM pages").fetchall())
+    got = {r["page_id"]: (r["text"], r["n_blocks"], r["n_kept"]) for r in QUERIES["op8_html_extraction"](spark, SF_DIR).collect()}
+    assert got.keys() == pages.keys() and sum(k for _, _, k in got.values()) > 50
+    assert {i: x for i, x in got.items() if x != ((None, 0, 0) if pages[i] is None else plain_extract(pages[i]))} == {}

@@ -122,3 +122,27 @@ def test_fingerprints_ignore_block_borders():
     assert has.all()
     for i, t in enumerate(texts):
         assert (fingerprints(pa.array([t]))[0][0] == whole[i]).all()
+
+
+def test_query_against_all_pairs(spark):
+    """The query over its whole table: what goes, and for which document, by components over all pairs of fingerprints."""
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from compare import SF_DIR, connection
+    from quern.llm.queries import QUERIES
+
+    if not Path(SF_DIR).exists():
+        pytest.skip("no test tables here")
+    rows = connection().execute("SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL ORDER BY doc_id, text").fetchall()
+    fp, has = fingerprints(pa.array([t.lower() for _, t in rows]))
+    words = fp.view(np.uint64)
+    group = np.arange(len(rows))
+    for i in np.flatnonzero(has).tolist():
+        near = np.flatnonzero(has & (np.bitwise_count(words ^ words[i]).sum(axis=1) <= 40))
+        joined = np.isin(group, group[near])
+        group[joined] = group[joined].min()
+    want = {(rows[i][0], rows[g][0]) for i, g in enumerate(group.tolist()) if i != g}
+    got = [(r["doc_id"], r["kept_doc_id"]) for r in QUERIES["op10_simhash_near_dedup"](spark, SF_DIR).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
