@@ -35,7 +35,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space within white space: PATTERN need not part there.
 INNER = regex.compile(r"\s ")
-CACHE, PAIRS = 250_000, 1_000_000
+CACHE, PAIRS = 120_000, 300_000
 
 
 class Bpe:
