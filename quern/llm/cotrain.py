@@ -8,9 +8,9 @@ calibrated views are combined by a logistic regression on the held-out labels, a
 
 Only labelled rows are sampled: the `labelled` documents with the smallest hashes, which also give the vocabulary. All others
 take part in the exchange: their features (of those that tell something by half of the standard errors asked for) are found
-once and written to the shared folder (copies with the same metadata once), and in a round each task adds up, by feature, the pseudo-labels and the gradient of the other view's loss and a bound of
-its curvature. These sums (one row a feature, whole numbers, so that their order doesn't matter) bound the loss over all
-pseudo-labels from above, and the driver lowers that bound together with the loss over the labels. Pseudo-labels together
+once and written to the shared folder (copies with the same metadata once), and in a round each task adds up, by feature, the
+pseudo-labels and the gradient of the other view's loss and a bound of its curvature. These sums (one row a feature, whole
+numbers, so that their order doesn't matter) bound the loss over all pseudo-labels from above, and the driver lowers that bound together with the loss over the labels. Pseudo-labels together
 weigh half of the labels, or less where each would weigh more than a label; so the fit is alike at every size.
 
 Nulls and edge cases: labels with a null doc_id or both labels null are ignored, several labels of a document count as bad if
@@ -59,10 +59,11 @@ def text_features(text: str | None, wanted: set[str] | None = None) -> set[str]:
         "top": max(map(len, tokens), default=0) / 8,
         "many": np.log2(len(found) + 1),
     }
-    starts = Counter([w[:5] for w in distinct if len(w) > 4])
-    starts.update([w[:7] for w in distinct if len(w) > 6])
-    for start in starts if wanted is None else wanted & starts.keys():
-        distinct.update(f"{start}^{k}" for k in range(1, min(starts[start], 3) + 1))
+    heads = [[w[:n] for w in distinct if len(w) >= n] for n in (5, 7)]
+    if wanted is not None:
+        heads = [[*filter(wanted.__contains__, x)] for x in heads]
+    for start, n in Counter(heads[0] + heads[1]).items():
+        distinct.update([f"{start}^{k}" for k in range(1, min(n, 3) + 1)])
     distinct.update(f"#{k}={int(min(v, 20))}" for k, v in shape.items())
     return distinct
 
