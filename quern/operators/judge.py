@@ -83,8 +83,8 @@ def python_valid(raw: str | None, metric: str, low: int = 1, high: int = 10) ->
     return all(isinstance(x.get(k), int) and not isinstance(x.get(k), bool) and low <= x[k] <= high for k in keys_of(metric))
 
 
-def ask(requests: DataFrame, client: Client, retries: int = 3, temperature: float = 0.1, timeout: float = 30.0, wait: float = 1.0, concurrency: int = 32) -> DataFrame:
-    """requests (id, metric, prompt) with raw and attempts; calls run concurrently within each task."""
+def ask(requests: DataFrame, client: Client, retries: int = 3, temperature: float = 0.1, timeout: float = 30.0, wait: float = 1.0, concurrency: int = 32, chunk: int = 2048) -> DataFrame:
+    """requests (id, metric, prompt) with raw and attempts; calls run concurrently within each task, `chunk` requests at a time."""
     kind = requests.schema["id"].dataType.simpleString()
     plan = retry_plan(retries, temperature, wait)
 
@@ -102,7 +102,7 @@ def ask(requests: DataFrame, client: Client, retries: int = 3, temperature: floa
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(concurrency) as pool:
-            for f in frames:
+            for f in (whole.iloc[a : a + chunk] for whole in frames for a in range(0, len(whole), chunk)):
                 got = list(pool.map(one, f["prompt"], f["metric"]))
                 yield f[["id", "metric"]].assign(raw=[r for r, _ in got], attempts=[n for _, n in got])
 

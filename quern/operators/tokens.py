@@ -38,6 +38,27 @@ def tiktoken_tokens(vocabulary: bytes, pattern: str = PATTERN) -> Tokenizer:
     return tokens
 
 
+#: From texts and a number of tokens to the texts cut to so many, and which were cut.
+Limit = Callable[[list[str], int], tuple[list[str], list[bool]]]
+
+
+def byte_limit(texts: list[str], most: int) -> tuple[list[str], list[bool]]:
+    """Bytes as tokens; a character isn't parted."""
+    raw = [t.encode() for t in texts]
+    return [t if len(b) <= most else b[:most].decode(errors="ignore") for t, b in zip(texts, raw, strict=True)], [len(b) > most for b in raw]
+
+
+def tiktoken_limit(vocabulary: bytes, pattern: str = PATTERN) -> Limit:
+    """Tokens of a rank file's vocabulary; what is left of a parted character goes."""
+    encode, of = tiktoken_tokens(vocabulary, pattern), {int(b): base64.b64decode(a) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
+
+    def limit(texts: list[str], most: int) -> tuple[list[str], list[bool]]:
+        ids = encode(texts)
+        return [t if len(x) <= most else b"".join(of[i] for i in x[:most]).decode(errors="ignore") for t, x in zip(texts, ids, strict=True)], [len(x) > most for x in ids]
+
+    return limit
+
+
 def token_ids(text: Column, tokenizer: Tokenizer = byte_tokens) -> Column:
     if tokenizer is byte_tokens:  # has a built-in form
         whole = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))

@@ -203,16 +203,21 @@ def evaluate(df: DataFrame, config: str | Mapping[str, Any]) -> DataFrame:
     return DATASET[c["name"]](df, _checked(c))
 
 
-def embed(df: DataFrame, id_col: str, text: Column, embedder: Callable[[list[str]], Any], dimension: int | None = None) -> DataFrame:
-    """(id, v): embeddings by a plug-in from texts to a matrix."""
+def embed(df: DataFrame, id_col: str, text: Column, embedder: Callable[[list[str]], Any], dimension: int | None = None, max_tokens: int = 32_768, limit: tokens.Limit = tokens.byte_limit, batch: int = 16_384, report: bool = False) -> DataFrame:
+    """(id, v): embeddings by a plug-in from texts to a matrix, `batch` texts at a time, each cut to max_tokens by limit; with
+    report also `truncated`, whether it was cut. Embeddings of another width than dimension, if that is given, go."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"id": f["id"], "v": [list(map(float, v)) for v in embedder(f["t"].fillna("").tolist())]})
-
-    out = df.select(F.col(id_col).alias("id"), text.alias("t")).mapInPandas(run, f"id {kind}, v array<double>")
-    return out if dimension is None else out.where(F.size("v") == dimension)
+            for a in range(0, len(f), batch):
+                part = f.iloc[a : a + batch]
+                texts, cut = limit(part["t"].fillna("").tolist(), max_tokens)
+                yield pd.DataFrame({"id": part["id"].tolist(), "v": [list(map(float, v)) for v in embedder(texts)], "truncated": cut})
+
+    out = df.select(F.col(id_col).alias("id"), text.alias("t")).mapInPandas(run, f"id {kind}, v array<double>, truncated boolean")
+    out = out if dimension is None else out.where(F.size("v") == dimension)
+    return out if report else out.drop("truncated")
 
 
 def hashing_embedder(dimension: int = 64) -> Callable[[list[str]], Any]:

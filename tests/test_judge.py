@@ -28,7 +28,7 @@ def test_end_to_end(spark, tmp_path):
 
     requests = judge.prompts(items, templates)
     assert requests.count() == 80
-    asked = judge.ask(requests, client, wait=0.0, timeout=9.0, concurrency=4)
+    asked = judge.ask(requests, client, wait=0.0, timeout=9.0, concurrency=4, chunk=7)
     asked.write.parquet(str(tmp_path / "raw"))
     answers = spark.read.parquet(str(tmp_path / "raw"))
     attempts = {(r["id"], r["metric"]): r["attempts"] for r in answers.collect()}

@@ -224,6 +224,17 @@ def test_embedding_plug_in(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "id long, t string")
     got = {r["id"]: r["v"] for r in registry.embed(df, "id", F.col("t"), registry.hashing_embedder(8), 8).collect()}
     assert len(got[1]) == 8 and not any(got[2]) and V.METRICS
+    long = spark.createDataFrame([(k, "ä" * k) for k in range(9)], "id long, t string").coalesce(1)
+    cut = {r["id"]: (r["v"], r["truncated"]) for r in registry.embed(long, "id", F.col("t"), lambda ts: [[len(t), len(ts)] for t in ts], max_tokens=7, batch=4, report=True).collect()}
+    assert cut == {k: ([min(k, 3), 4 if k < 8 else 1], k > 3) for k in range(9)}
+    assert registry.embed(long, "id", F.col("t"), lambda ts: [[0.0] * len(t) for t in ts], 2).count() == 1
+
+
+@needs_vocabulary
+def test_limits():
+    with open(VOCABULARY, "rb") as f:
+        limit = tokens.tiktoken_limit(f.read())
+    assert limit(["one two three", "one", ""], 2) == (["one two", "one", ""], [True, False, False])
 
 
 def test_backend_and_registry(spark):
