@@ -40,3 +40,31 @@ def test_minhash_query(spark):
     assert abs(got["score"] - want) < 0.0145
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     assert apjs(docs, "doc_id", F.col("text"), similarity_method="minhash", num_perm=2048).first()["score"] == pytest.approx(want, rel=0.12)
+
+
+def test_sampled_pairs(spark):
+    import numpy as np
+
+    from quern.operators.pairwise import aps
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 5))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    for metric in ("cosine", "euclidean", "manhattan", "dot_product", "pearson"):
+        whole, every, some = (aps(df, metric, n).first() for n in (None, 435, 60))
+        assert (every["num_pairs"], some["num_pairs"], some["total_possible_pairs"], some["is_sampled"]) == (435, 60, 435, True)
+        assert abs(every["score"] - whole["score"]) < 1e-9 and some["score"] == aps(df, metric, 60).first()["score"] != whole["score"]
+    texts = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 7}" for j in range(1, 6))) for k in range(12)], "doc_id long, text string")
+    whole, every, some = (apjs(texts, "doc_id", F.col("text"), sample_pairs=n).first() for n in (None, 66, 20))
+    assert abs(every["score"] - whole["score"]) < 1e-9 and some["num_pairs"] == 20 and every["total_possible_pairs"] == 66
+
+
+def test_apjs_by_tokens(spark):
+    from quern.operators.tokens import token_ids
+
+    texts = ["abab", "ab", "", "ba"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = apjs(df, "doc_id", F.col("text"), n=2, tokens=token_ids(F.col("text"))).first()
+    sets = [{t[k : k + 2] for k in range(len(t) - 1)} for t in texts]
+    pairs = list(itertools.combinations(sets, 2))
+    assert got["tokenization_method"] == "token" and abs(got["score"] - sum(jaccard(a, b) for a, b in pairs) / len(pairs)) < 1e-9

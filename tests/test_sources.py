@@ -174,3 +174,10 @@ def test_partials_add_up(spark):
     whole = spectral.radius(d).first()["radius"]
     parts = [I.partials(d.where(f"id % 3 = {k}")) for k in range(3)]
     assert I.radius_of(I.merged(*parts)).first()[0] == pytest.approx(whole)
+
+
+def test_catalogue():
+    from collections import Counter
+
+    assert Counter(d for d, _, _ in evalreport.CATALOGUE) == {"general": 4, "math": 10, "code": 4, "reasoning": 5}
+    assert ("reasoning", "CaLM", "rule") in evalreport.CATALOGUE and ("code", "LiveCodeBench", "run") in evalreport.CATALOGUE
