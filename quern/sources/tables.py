@@ -5,10 +5,13 @@ from __future__ import annotations
 import io
 import warnings
 from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,24 +35,52 @@ def read_samples(spark: SparkSession, path: str, schema: T.StructType = SAMPLE,
     return raw.withColumn("id", F.coalesce("id", made))
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(vec_id, embedding) of a .npy matrix or of all .npy files of a folder, rows numbered in order of file name and place."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+def _open(path: str):
+    """A random-access stream of a URI as Spark writes it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file(unquote(urlsplit(path).path))
+    where, name = fs.FileSystem.from_uri(path)
+    return where.open_input_file(name)
+
+
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for p in b.column("path").to_pylist():
+            with _open(p) as f:
+                version = np.lib.format.read_magic(f)
+                shape, by_column, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+                shape = shape if len(shape) > 1 else (1, *shape)
+                if len(shape) != 2 or dtype.hasobject or by_column and 1 not in shape:
+                    raise ValueError(f"{p}: a matrix of numbers in C order is needed")
+                rows.append((p, shape[0], shape[1], dtype.str, f.tell()))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["path", "n", "width", "kind", "at"])
+
+
+def read_vectors(spark: SparkSession, path: str, block_bytes: int = 16 << 20) -> DataFrame:
+    """(vec_id, embedding) of a .npy matrix or of all .npy files of a folder, rows numbered in order of file name and place.
+
+    Only headers are read at first; a file is then read in blocks of about block_bytes by many tasks, whatever its size.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path")
+    heads = files.mapInArrow(_headers, "path string, n long, width long, kind string, at long")
+    before = F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per file
+    rows = F.greatest(F.lit(block_bytes) / 8 / F.greatest("width", F.lit(1)), F.lit(1)).cast("long")
+    blocks = heads.withColumn("base", before).where("n > 0").withColumn("rows", rows).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.col("rows"))).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                m = np.atleast_2d(np.load(io.BytesIO(raw.as_py()), allow_pickle=False)).astype("<f8")
-                for a in range(0, len(m), 4096):
-                    part = m[a : a + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(part)), pa.array(np.arange(a, a + len(part))), pa.array(list(part), pa.list_(pa.float64()))], ["path", "row", "embedding"])
-
-    rows = files.mapInArrow(run, "path string, row long, embedding array<double>")
-    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window as W
-
-    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row per file
-    return rows.join(base, "path").select((F.col("base") + F.col("row")).alias("vec_id"), "embedding")
+            for r in b.to_pylist():
+                kind, n = np.dtype(r["kind"]), min(r["rows"], r["n"] - r["first"])
+                with _open(r["path"]) as f:
+                    f.seek(r["at"] + r["first"] * r["width"] * kind.itemsize)
+                    m = np.frombuffer(f.read(n * r["width"] * kind.itemsize), kind).astype("<f8")
+                offsets = np.arange(n + 1, dtype=np.int32) * r["width"]
+                number = np.arange(n, dtype=np.int64) + (r["base"] + r["first"])
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.ListArray.from_arrays(pa.array(offsets), pa.array(m))], ["vec_id", "embedding"])
+
+    return blocks.repartition("path", "first").mapInArrow(run, "vec_id long, embedding array<double>")
 
 
 def aligned(samples: DataFrame, vectors: DataFrame, sample_id: str, vector_id: str) -> DataFrame:

@@ -27,14 +27,21 @@ def test_samples(spark, tmp_path):
 
 def test_vectors(spark, tmp_path):
     rng = np.random.default_rng(1)
-    parts = [rng.normal(size=(5000, 3)), rng.normal(size=(2, 3)).astype(np.float32), rng.normal(size=3)]
-    for k, m in enumerate(parts):
+    matrices = [rng.normal(size=(5000, 3)), rng.normal(size=(2, 3)).astype(np.float32), rng.normal(size=3)]
+    for k, m in enumerate(matrices):
         np.save(tmp_path / f"p{k}.npy", m)
-    want = np.concatenate([np.atleast_2d(m) for m in parts])
+    want = np.concatenate([np.atleast_2d(m) for m in matrices])
     got = np.array([r["embedding"] for r in S.read_vectors(spark, str(tmp_path)).orderBy("vec_id").collect()])
     assert np.array_equal(got, want)
+    parts = S.read_vectors(spark, str(tmp_path), block_bytes=2400).orderBy("vec_id").collect()  # 100 rows
+    assert [r["vec_id"] for r in parts] == list(range(len(want))) and np.array_equal([r["embedding"] for r in parts], want)
+    np.save(tmp_path / "bad name.npy", np.zeros((2, 2, 2)))
+    with pytest.raises(Exception, match="a matrix of numbers"):
+        S.read_vectors(spark, str(tmp_path / "bad name.npy")).collect()
+    np.save(tmp_path / "none 1%.npy", np.zeros((0, 3), np.int16))
+    assert S.read_vectors(spark, str(tmp_path / "none 1%.npy")).count() == 0
     one = S.read_vectors(spark, str(tmp_path / "p1.npy")).orderBy("vec_id").collect()
-    assert [r["vec_id"] for r in one] == [0, 1] and np.array_equal(one[1]["embedding"], parts[1][1].astype(float))
+    assert [r["vec_id"] for r in one] == [0, 1] and np.array_equal(one[1]["embedding"], matrices[1][1].astype(float))
 
 
 def test_alignment(spark):
