@@ -87,9 +87,9 @@ def ship(spark: SparkSession) -> None:
 
 class Sieve:
     """A Bloom filter of 64-bit keys, built in the cluster: `each` bits a key, but `most` bits in all (so what is broadcast is
-    bounded: 64 MB by default); beyond that more keys that aren't in it seem to be. Three bits of one 64-bit word are set."""
+    bounded: 32 MB by default); beyond that more keys that aren't in it seem to be. Three bits of one 64-bit word are set."""
 
-    def __init__(self, keys: DataFrame, column: str, each: int = 16, most: int = 1 << 29):
+    def __init__(self, keys: DataFrame, column: str, each: int = 16, most: int = 1 << 28):
         n = keys.count()
         self.log = max(7, min(max(each * n, 1 << 12) - 1, most - 1).bit_length()) - 6  # of the number of words
         bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {at}) & 63 as int))" for at in (0, 6, 12))

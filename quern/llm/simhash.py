@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return both.select(F.col("doc").alias("doc_id"), F.col("first.doc").alias("kept_doc_id"))
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 29, **params) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 28, **params) -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest doc_id (then text hash).
 
     What may go is told by a Bloom filter of bounded size; only what it lets by is shuffled, to the marks of what goes. Of

@@ -329,7 +329,7 @@ def _order() -> Column:
     return F.struct(F.col("doc").isNull().alias("x"), "doc", "key", "at")
 
 
-def spans(docs: DataFrame, min_words: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text", hot: int = 8192, filter_bits: int = 1 << 29) -> DataFrame:
+def spans(docs: DataFrame, min_words: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text", hot: int = 8192, filter_bits: int = 1 << 28) -> DataFrame:
     """(doc, key, start, length): repeated spans in words; key is xxhash64 of the text. Spans of a document may overlap.
 
     Minimizers that occur more than once are told by a Bloom filter of at most `filter_bits`; the others that it lets by
