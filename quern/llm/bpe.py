@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import pieces, ship, text_bytes
+from quern.llm.common import KEPT, pieces, ship, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Contractions, letters, digits, other signs (each with a leading space), white space.
@@ -194,6 +194,7 @@ class Bpe:
 
 
 _loaded: dict[tuple[int, str], Bpe] = {}
+KEPT["bpe"] = _loaded.clear
 
 
 def of(vocabulary: bytes, pattern: str) -> Bpe:
@@ -229,7 +230,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = of(raw.value, pattern)
-        for part in pieces(batches, text_col, 2 << 20):
+        for part in pieces(batches, text_col, 2 << 20, owner="bpe"):
             texts = part.column(text_col)
             missing = texts.is_null().to_numpy(zero_copy_only=False)
             column, values, offsets = _token_column(bpe.encode_texts(texts.to_pylist()), missing)

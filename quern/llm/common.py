@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import re
 import tempfile
 import uuid
 import weakref
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -165,8 +166,25 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return all_bytes[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20, rows: int = 60_000) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about `most` bytes of text each (a longer text is a slice of its own)."""
+#: What a worker keeps between tasks, by owner: how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, which workers that are used again would hold on to."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20, rows: int = 60_000, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about `most` bytes of text each (a longer text is a slice of its own). What others than owner
+    kept in this worker is dropped, and memory is given back at the end."""
+    for name, drop in KEPT.items():
+        if name != owner:
+            drop()
     for batch in batches:
         _, at = text_bytes(batch.column(column))
         start, n = 0, batch.num_rows
@@ -175,6 +193,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20,
             end = min(max(end, start + 1), start + rows, n)
             yield batch.slice(start, end - start)
             start = end
+    _give_back()
 
 
 def words(data: np.ndarray, at: np.ndarray, parts: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

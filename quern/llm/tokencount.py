@@ -58,7 +58,7 @@ def write_token_files(docs: DataFrame, folder: str, text_col: str = "text", voca
         number = TaskContext.get().partitionId()
         out, path, size = None, f"{folder}/tokens-{number:06d}-{uuid.uuid4().hex}.u16", 0
         end = np.array([separator], "<u2").tobytes()
-        for part in pieces(batches, text_col, 2 << 20):
+        for part in pieces(batches, text_col, 2 << 20, owner="bpe"):
             if out is None:
                 where, name = _open(path)
                 where.create_dir(name.rpartition("/")[0], recursive=True)
