@@ -103,13 +103,6 @@ def distinct_share(items: Sequence[Any], n: int) -> float:
     return len(set(zip(*(items[k:] for k in range(n)), strict=False))) / runs if runs > 0 else 0.0
 
 
-def entropy(counts: Column, base: float | None = 2.0) -> Column:
-    """Entropy of a distribution given by counts; no counts give 0."""
-    total = F.aggregate(counts, F.lit(0).cast("double"), lambda a, c: a + c)
-    log = (lambda x: F.log2(x)) if base == 2.0 else (lambda x: F.log(x))
-    return bind(total, lambda n: F.when(n > 0, -F.aggregate(counts, F.lit(0).cast("double"), lambda a, c: a + c / n * log(c / n)) + F.lit(0.0)).otherwise(F.lit(0.0)))
-
-
 def ngrams(items: Column, n: int) -> Column:
     """Runs of n items as strings (parted by U+0001); shorter lists have none."""
     return bind(

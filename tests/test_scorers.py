@@ -260,3 +260,10 @@ def test_backend_and_registry(spark):
     assert registry.evaluate(e, {"name": "RadiusScorer"}).first()["num_samples"] == 4
     with pytest.raises(ValueError):
         registry.evaluate(e, {"name": "StrLengthScorer"})
+
+
+def test_entropy_by_shuffle(spark):
+    df = spark.createDataFrame([(1, "a b b, a"), (2, "x"), (3, "")], "k int, t string")
+    got = {r["id"]: r["score"] for r in lexical.gram_entropy_by_shuffle(df, "k", F.col("t")).collect()}
+    want = {r["k"]: r["e"] for r in df.select("k", lexical.gram_entropy(F.col("t")).alias("e")).collect()}
+    same(got, {k: want[k] for k in (1, 2)})  # a text without words has no row
