@@ -86,8 +86,11 @@ def vendi(df: DataFrame, similarity_metric: str = "cosine", most: int = 5000) ->
     return df.sparkSession.createDataFrame([(score, n, similarity_metric)], "vendi_score double, num_samples long, similarity_metric string")
 
 
-def log_det(df: DataFrame, ridge_alpha: float = 1e-10) -> DataFrame:
-    """slogdet(S + ridge_alpha I) of the N x N cosine similarity S, from the D x D Gram matrix, with statistics of S. One row."""
+def log_det(df: DataFrame, ridge_alpha: float = 1e-10, extremes: bool = True) -> DataFrame:
+    """slogdet(S + ridge_alpha I) of the N x N cosine similarity S, from the D x D Gram matrix, with statistics of S. One row.
+
+    Only S's smallest and largest value take all pairs: without extremes they are null, and the rest is linear in the rows.
+    """
     n, g, s = gram(df)
     e = np.linalg.eigvalsh(g) if n else np.zeros(0)
     e = np.clip(np.where(np.abs(e) < 1e-9 * max(n, 1), 0, e), 0, None)
@@ -98,7 +101,7 @@ def log_det(df: DataFrame, ridge_alpha: float = 1e-10) -> DataFrame:
         sim = 1 - distances(x, y, "cosine")
         return pd.DataFrame({"lo": [float(sim.min())], "hi": [float(sim.max())]})
 
-    low, high = block_pairs(df, df, ends, "lo double, hi double").agg(F.min("lo"), F.max("hi")).first() if n else (None, None)
+    low, high = block_pairs(df, df, ends, "lo double, hi double").agg(F.min("lo"), F.max("hi")).first() if n and extremes else (None, None)
     mean = float((s**2).sum() / n**2) if n else 0.0
     std = float(np.sqrt(max((g**2).sum() / n**2 - mean**2, 0))) if n else 0.0
     rank = int((top > 0).sum())

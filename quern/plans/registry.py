@@ -125,7 +125,7 @@ DATASET: dict[str, Callable[..., DataFrame]] = {
     "ClusterInertiaScorer": lambda df, c: clusters.cluster_inertia(df, c["centroids"], c.get("distance_metric", "cosine")),
     "FacilityLocationScorer": lambda df, c: pairwise.facility_location(df, c["subset"], c.get("distance_metric", "euclidean")),
     "KNNScorer": lambda df, c: pairwise.knn(df, c.get("k", 5), c.get("distance_metric", "euclidean")),
-    "LogDetDistanceScorer": lambda df, c: spectral.log_det(df, c.get("ridge_alpha", 1e-10)),
+    "LogDetDistanceScorer": lambda df, c: spectral.log_det(df, c.get("ridge_alpha", 1e-10), c.get("extremes", True)),
     "NovelSumScorer": lambda df, c: novelty.novel_sum(df, c.get("reference"), c.get("density_powers", (0, 0.25, 0.5)), c.get("neighbors", (5, 10)), c.get("distance_powers", (0, 1, 2))),
     "PartitionEntropyScorer": lambda df, c: clusters.partition_entropy(df, c["num_clusters"]),
     "RadiusScorer": lambda df, c: spectral.radius(df),

@@ -163,6 +163,9 @@ def test_log_det(spark, vectors):
     assert got["num_samples"] == len(x) and got["sign"] == 1.0 and sign == 1 and got["is_positive_definite"] == (np.linalg.matrix_rank(s) == len(s))
     assert math.isclose(got["log_det"], value, rel_tol=1e-3)
     assert math.isclose(got["mean"], s.mean(), abs_tol=1e-6) and math.isclose(got["min"], s.min(), abs_tol=1e-6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id long, v array<double>")
+    short = spectral.log_det(df, extremes=False).first()
+    assert math.isclose(short["log_det"], got["log_det"], rel_tol=1e-6) and short["similarity_matrix_stats"]["min"] is None
 
 
 def test_vendi(spark, vectors):
