@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.functions import vectors as V
-from quern.operators.blocks import block_pairs, distances
+from quern.operators.blocks import block_pairs, cells, distances, pack, top_k
 from quern.operators.contamination import grams
 
 
@@ -130,16 +130,9 @@ def task2vec(df: DataFrame) -> DataFrame:
 def nearest(df: DataFrame, k: int, metric: str = "euclidean", reference: DataFrame | None = None, other_id: bool = True) -> DataFrame:
     """(id, rank, other, d): the k nearest others of each row (ties: the smaller id); with reference, from there (no self)."""
 
-    def top(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-        d = distances(x, y, metric)
-        d = np.where(i[:, None] == j[None, :], np.inf, d)
-        # rows of y are in order of id, so a stable sort settles ties
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        got = pd.DataFrame({"id": np.repeat(i, order.shape[1]), "other": j[order].ravel(), "d": np.take_along_axis(d, order, axis=1).ravel()})
-        return got[np.isfinite(got["d"])]
-
-    near = block_pairs(df, reference if reference is not None else df, top, "id long, other long, d double")
-    best = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("best"))
+    reference = df if reference is None else reference
+    near = cells(pack(df, 8192, "l", 48), pack(reference, 65536, "r"), lambda i, x, j, y: top_k(i, x, j, y, k, metric), "id long, other long, d double")
+    best = near.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "other"))), 1, k).alias("best"))
     return best.select("id", F.posexplode("best").alias("r", "x")).select("id", (F.col("r") + 1).alias("rank"), F.col("x.other").alias("other"), F.col("x.d").alias("d"))
 
 
