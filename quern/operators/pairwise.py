@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.functions import vectors as V
-from quern.operators.blocks import block_pairs, cells, distances, pack, top_k
+from quern.operators.blocks import block_pairs, cells, distances, euclidean_sum, pack, shape, top_k
 from quern.operators.contamination import grams
 
 
@@ -96,9 +96,12 @@ def aps(df: DataFrame, similarity_metric: str = "cosine", sample_pairs: int | No
     elif similarity_metric == "euclidean":
 
         def half(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"s": [float(distances(x, y, "euclidean").sum())]})
+            return pd.DataFrame({"s": [euclidean_sum(x, y)]})
 
-        total = block_pairs(df, df, half, "s double").agg((F.sum("s") / 2).alias("total"))
+        size = shape(df)
+        left, right = (pack(df, 16384, side, 10, size) for side in "lr")
+        # a block meets itself in both orders, another one once
+        total = cells(left, right, half, "l_b int, r_b int, s double", half=True).agg(F.sum(F.when(F.col("l_b") == F.col("r_b"), F.col("s") / 2).otherwise(F.col("s"))).alias("total"))
     elif similarity_metric == "manhattan":
         rank = F.row_number().over(W.partitionBy("d").orderBy("x", "id"))
         total = _by_dimension(df).select(((2 * rank - F.count(F.lit(1)).over(W.partitionBy("d")) - 1) * F.col("x")).alias("t")).agg(F.sum("t").alias("total"))
