@@ -6,11 +6,10 @@ import ast
 import re
 import warnings
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.text import single
+from quern.functions.text import scored, single
 
 NAMES = "think|redacted_reasoning"
 SPAN = rf"(?is)<({NAMES})\s*>.*?</\1\s*>"
@@ -64,8 +63,4 @@ def ts_python(field: str | Column = "output", parser=is_python) -> Column:
     """1 if every code block (or the text, if it has none) parses as Python; empty: 0. parser may be replaced, as by
     tree_sitter_python, which differs on old syntax."""
 
-    @F.pandas_udf("int")
-    def valid(s: pd.Series) -> pd.Series:
-        return pd.Series([parser(t) for t in s], dtype="int32")
-
-    return valid(single(field))
+    return scored(single(field), parser, kind="int")
