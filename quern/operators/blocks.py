@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Reduce = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
+Reduce = Callable[..., pd.DataFrame]
 
-#: Bytes of a block's vectors at most; of a tile of distances.
-BLOCK, TILE = 1 << 25, 1 << 25
+#: Bytes of a block's vectors at most; of a tile of distances. Pairs of which one block's rows may be near, held at a time.
+BLOCK, TILE, KEPT = 1 << 25, 1 << 25, 1 << 20
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
@@ -72,14 +72,12 @@ def _block(ids: pa.Scalar, vs: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
 
 def cells(left: DataFrame, right: DataFrame, reduce: Reduce, schema: str, half: bool = False) -> DataFrame:
     """reduce(ids, vectors, ids, vectors) of each pair of packed blocks; half: of those whose left number isn't the greater one,
-    with the numbers before it."""
+    and reduce is told last whether the numbers differ (parts of one number meet in both orders)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in batches:
             for lb, li, lv, rb, ri, rv in zip(*[f.column(f"{side}_{c}") for side in "lr" for c in ("b", "ids", "vs")], strict=True):
-                got = reduce(*_block(li, lv), *_block(ri, rv))
-                if half:
-                    got = pd.DataFrame({"l_b": np.full(len(got), lb.as_py(), np.int32), "r_b": np.full(len(got), rb.as_py(), np.int32)}).join(got)
+                got = reduce(*_block(li, lv), *_block(ri, rv), *[lb != rb] * half)
                 yield from pa.Table.from_pandas(got, preserve_index=False).to_batches()
 
     both = left.hint("shuffle_replicate_nl").crossJoin(right)
@@ -170,8 +168,9 @@ def euclidean_sum(x: np.ndarray, y: np.ndarray) -> float:
     return total
 
 
-def _screen(x: np.ndarray, y: np.ndarray, metric: str) -> Iterator[tuple[int, np.ndarray, float | np.ndarray]]:
-    """For every few rows of x: where they begin, something that grows with their distances to y, and how far that may be off."""
+def _tiles(x: np.ndarray, y: np.ndarray, metric: str) -> tuple[Callable[[slice, slice], np.ndarray], tuple[int, int], np.ndarray, np.ndarray]:
+    """tile(rows, columns): something that grows with their distances, overwritten by the next call; rows and columns of a tile;
+    how far that may be off for each row of x, and for each row of y."""
     kind = np.float32 if max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) < 1e15 else float
     off = (y.shape[1] + 8) * float(np.finfo(kind).eps)
     if metric == "cosine":
@@ -179,37 +178,94 @@ def _screen(x: np.ndarray, y: np.ndarray, metric: str) -> Iterator[tuple[int, np
     else:
         mean = y.mean(axis=0)
         x, y = x - mean, y - mean
-    step = max(1, TILE // (8 * len(y)))
+    most = (256, 2048) if metric == "manhattan" else (512, 512)  # in a core's cache
+    room = np.empty(most[0] * most[1], kind)
     if metric == "manhattan":
         # |a - b| = 2 max(a, b) - a - b
-        size, low = np.abs(y).sum(axis=1), y.sum(axis=1).astype(kind)
-        yt, x1 = np.ascontiguousarray(y.T.astype(kind)), x.astype(kind)
-        most, wide = float(size.max(initial=0)), 2048
-        buffer = np.empty((yt.shape[0], wide), kind)
-        for k in range(0, len(x), step):
-            out = np.empty((min(step, len(x) - k), len(y)), kind)
-            for c in range(0, len(y), wide):
-                part = np.ascontiguousarray(yt[:, c : c + wide])
-                room = buffer[:, : part.shape[1]]
-                for r in range(len(out)):
-                    np.maximum(part, x1[k + r][:, None], out=room)
-                    np.add.reduce(room, axis=0, out=out[r, c : c + wide])
+        sizes = [np.abs(v).sum(axis=1) for v in (x, y)]
+        xs, ys = x.sum(axis=1).astype(kind), y.sum(axis=1).astype(kind)
+        x1, yt, buffer = x.astype(kind), np.ascontiguousarray(y.T.astype(kind)), np.empty((y.shape[1], most[1]), kind)
+
+        def tile(rows: slice, columns: slice) -> np.ndarray:
+            a, part = x1[rows], np.ascontiguousarray(yt[:, columns])
+            out, larger = room[: len(a) * part.shape[1]].reshape(len(a), -1), buffer[:, : part.shape[1]]
+            for r in range(len(a)):
+                np.maximum(part, a[r][:, None], out=larger)
+                np.add.reduce(larger, axis=0, out=out[r])
             out *= 2
-            out -= low
-            yield k, out, 2 * off * (np.abs(x[k : k + step]).sum(axis=1) + most)
-        return
-    yt, yy = np.ascontiguousarray(y.T.astype(kind)), (y * y).sum(axis=1)
-    most = float(np.sqrt(yy.max(initial=0)))
-    for k in range(0, len(x), step):
-        a = x[k : k + step]
-        out = (a * (-1.0 if metric == "cosine" else -2.0)).astype(kind) @ yt
-        if metric != "cosine":
-            out += yy.astype(kind)
-        yield k, out, off * (np.sqrt((a * a).sum(axis=1)) + most) ** 2
-
+            out -= ys[columns]
+            out -= xs[rows, None]
+            return out
 
-def top_k(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, k: int, metric: str) -> pd.DataFrame:
-    """(id, other, d): the k of y nearest to each row of x, but none of its id; ties: the smaller id. j is sorted.
+        return tile, most, *[2 * off * (own + other.max(initial=0)) for own, other in (sizes, sizes[::-1])]
+    squares = [(v * v).sum(axis=1) for v in (x, y)]
+    if metric == "cosine":
+        a, b = -x.astype(kind), y.astype(kind)
+    else:  # the squares come with the products
+        a, b = (np.column_stack(v).astype(kind) for v in ((-2 * x, squares[0], np.ones(len(x))), (y, np.ones(len(y)), squares[1])))
+
+    def tile(rows: slice, columns: slice) -> np.ndarray:
+        p, q = a[rows], b[columns].T
+        return np.matmul(p, q, out=room[: len(p) * q.shape[1]].reshape(len(p), -1))
+
+    return tile, most, *[off * (np.sqrt(own) + np.sqrt(other.max(initial=0))) ** 2 for own, other in (squares, squares[::-1])]
+
+
+class _Nearest:
+    """The k of y nearest to each row of x, from tiles of rough distances that may be off by so much: what these can't exclude is
+    computed exactly, some at a time."""
+
+    def __init__(self, i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, k: int, metric: str, off: np.ndarray):
+        self.i, self.x, self.j, self.y, self.k, self.metric, self.off = i, x, j, y, k, metric, off
+        self.low = np.full((len(i), k), np.inf)  # the k-th isn't under the k-th smallest so far
+        self.limit = np.full(len(i), np.inf)
+        self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.kept, self.count = [], 0
+
+    def add(self, row: int, column: int, least: np.ndarray, take: Callable[[np.ndarray], np.ndarray]) -> None:
+        """A tile from that row and column on: the least of each row, and how to get some of its rows."""
+        near = np.flatnonzero(least <= self.limit[row : row + len(least)])
+        if not near.size:
+            return
+        part, at = take(near), row + near
+        low = self.low[at]
+        if part.shape[1] >= self.k and np.isinf(low).all():
+            low = np.partition(part, self.k - 1, axis=1)[:, : self.k]
+        else:
+            low = np.sort(np.column_stack([low, least[near]]), axis=1)[:, : self.k]
+        self.low[at] = low
+        self.limit[at] = np.minimum(self.limit[at], low.max(axis=1) + self.off[at])
+        r, c = np.divmod(np.flatnonzero((part <= self.limit[at].astype(part.dtype)[:, None]) & (part < np.inf)), part.shape[1])
+        self.kept.append((at[r], c + column, part[r, c]))
+        self.count += len(r)
+        if self.count > KEPT:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.kept:
+            return
+        r, c, rough = (np.concatenate(v) for v in zip(*self.kept, strict=True))
+        at = np.flatnonzero(rough <= self.limit[r])
+        found = [self.best]
+        for m in range(0, len(at), 4096):
+            p, q = r[at[m : m + 4096]], c[at[m : m + 4096]]
+            d = exact(self.x[p], self.y[q], self.metric)
+            found.append((p, q, d**2 if self.metric == "squared_euclidean" else d))
+        r, c, d = (np.concatenate(v) for v in zip(*found, strict=True))
+        order = np.lexsort((self.j[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        keep = (np.arange(len(r)) - np.searchsorted(r, r, "left") < self.k) & np.isfinite(d)
+        self.best, self.kept, self.count = (r[keep], c[keep], d[keep]), [], 0
+
+    def frame(self) -> pd.DataFrame:
+        self.settle()
+        r, c, d = self.best
+        return pd.DataFrame({"id": self.i[r], "other": self.j[c], "d": d})
+
+
+def top_k(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, k: int, metric: str, both: bool = False) -> pd.DataFrame:
+    """(id, other, d): the k of y nearest to each row of x, but none of its id; ties: the smaller id. j is sorted. both: also the
+    k of x nearest to each row of y, by the same tiles.
 
     Quick arithmetic excludes nearly all; the distances of those it can't exclude are computed exactly. Distances that aren't
     finite don't count."""
@@ -217,27 +273,23 @@ def top_k(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, k: int, me
         raise ValueError(f"unknown metric {metric}")
     fine = [np.isfinite(v).all(axis=1) for v in (x, y)]
     i, x, j, y = i[fine[0]], x[fine[0]], j[fine[1]], y[fine[1]]
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    n, group = len(j), max(1, min(128, len(j) // (4 * k)))
+    if not len(i) or not len(j):
+        return pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "d": np.zeros(0)})
+    tile, (high, wide), *off = _tiles(x, y, metric)
+    own = _Nearest(i, x, j, y, k, metric, off[0])
+    others = _Nearest(j, y, i, x, k, metric, off[1]) if both else None
     first, last = np.searchsorted(j, i, "left"), np.searchsorted(j, i, "right")
-    for at, out, off in _screen(x, y, metric) if len(i) and n else ():
-        rows = np.arange(at, at + len(out))
-        for r in np.flatnonzero(last[rows] > first[rows]):
-            out[r, first[at + r] : last[at + r]] = np.inf
-        if n > k:
-            whole = n // group * group
-            low = out[:, :whole].reshape(len(out), -1, group).min(axis=2) if group > 1 else out
-            # the k-th smallest of the groups' minima is no less than the k-th smallest of all
-            limit = np.partition(low, k - 1, axis=1)[:, k - 1].astype(float) + off
-        else:
-            limit = np.full(len(out), np.inf)
-        r, c = np.nonzero((out <= limit.astype(out.dtype)[:, None]) & (out < np.inf))
-        for m in range(0, len(r), 1 << 16):
-            p, q = r[m : m + (1 << 16)] + at, c[m : m + (1 << 16)]
-            d = exact(x[p], y[q], metric)
-            found.append((p, q, d**2 if metric == "squared_euclidean" else d))
-    r, c, d = (np.concatenate([f[m] for f in found]) for m in range(3))
-    order = np.lexsort((j[c], d, r))
-    r, c, d = r[order], c[order], d[order]
-    keep = (np.arange(len(r)) - np.searchsorted(r, r, "left") < k) & np.isfinite(d)
-    return pd.DataFrame({"id": i[r[keep]], "other": j[c[keep]], "d": d[keep]})
+    for a in range(0, len(i), high):
+        rows = slice(a, a + high)
+        same = np.flatnonzero(last[rows] > first[rows])
+        for b in range(0, len(j), wide):
+            out = tile(rows, slice(b, b + wide))
+            if out.dtype == float:
+                out[np.isnan(out)] = np.inf  # overflown
+            lo, hi = np.maximum(first[a + same] - b, 0), np.minimum(last[a + same] - b, out.shape[1])
+            for m in np.flatnonzero(hi > lo):
+                out[same[m], lo[m] : hi[m]] = np.inf
+            own.add(a, b, out.min(axis=1), lambda near: out[near])
+            if others:
+                others.add(b, a, out.min(axis=0), lambda near: np.ascontiguousarray(out[:, near].T))
+    return pd.concat([own.frame(), others.frame()], ignore_index=True) if others else own.frame()

@@ -101,13 +101,13 @@ def aps(df: DataFrame, similarity_metric: str = "cosine", sample_pairs: int | No
         total = chosen.join(a, "i").join(b, "j").agg(F.sum(sim(x, y)).alias("total"))
     elif similarity_metric == "euclidean":
 
-        def half(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"s": [euclidean_sum(x, y)]})
+        def half(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, apart: bool) -> pd.DataFrame:
+            return pd.DataFrame({"s": [euclidean_sum(x, y) / (1 if apart else 2)]})
 
         size = shape(df)
         left, right = (pack(df, 16384, side, 10, size) for side in "lr")
         # a block meets itself in both orders, another one once
-        total = cells(left, right, half, "l_b int, r_b int, s double", half=True).agg(F.sum(F.when(F.col("l_b") == F.col("r_b"), F.col("s") / 2).otherwise(F.col("s"))).alias("total"))
+        total = cells(left, right, half, "s double", half=True).agg(F.sum("s").alias("total"))
     elif similarity_metric == "manhattan":
         rank = F.row_number().over(W.partitionBy("d").orderBy("x", "id"))
         total = _by_dimension(df).select(((2 * rank - F.count(F.lit(1)).over(W.partitionBy("d")) - 1) * F.col("x")).alias("t")).agg(F.sum("t").alias("total"))
@@ -139,9 +139,17 @@ def task2vec(df: DataFrame) -> DataFrame:
 def nearest(df: DataFrame, k: int, metric: str = "euclidean", reference: DataFrame | None = None, other_id: bool = True) -> DataFrame:
     """(id, rank, other, d): the k nearest others of each row (ties: the smaller id); with reference, from there (no self)."""
 
-    reference = df if reference is None else reference
-    near = cells(pack(df, 8192, "l", 48), pack(reference, 65536, "r"), lambda i, x, j, y: top_k(i, x, j, y, k, metric), "id long, other long, d double")
-    best = near.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "other"))), 1, k).alias("best"))
+    def near(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, apart: bool = False) -> pd.DataFrame:
+        return top_k(i, x, j, y, k, metric, apart)
+
+    if reference is None:  # two blocks meet once, for the rows of both
+        size = shape(df)
+        left, right = (pack(df, 40960, side, 12, size) for side in "lr")
+    else:
+        left, right = pack(df, 8192, "l", 48), pack(reference, 65536, "r")
+    found = cells(left, right, near, "id long, other long, d double", half=reference is None).groupBy("id")
+    pair = F.struct("d", "other")
+    best = found.agg(F.array(F.min(pair)).alias("best")) if k == 1 else found.agg(F.slice(F.sort_array(F.collect_list(pair)), 1, k).alias("best"))
     return best.select("id", F.posexplode("best").alias("r", "x")).select("id", (F.col("r") + 1).alias("rank"), F.col("x.other").alias("other"), F.col("x.d").alias("d"))
 
 
